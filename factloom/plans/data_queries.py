@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import time_text
+from factloom.functions.json_arrow import member_columns
 from factloom.operators import json_flatten, references
+from factloom.operators.time_mixture import normalise_times
 from factloom.tables import table
 
 
+FIRST_DAY, LAST_DAY = "2019-12-29", "2026-01-03"  # local days of instants from 2019-12-30 to 2026-01-02
+
+
+def _times(spark: SparkSession, folder: str) -> DataFrame:
+    graph = table(spark, folder, "kg_raw_graph")
+    said = member_columns(graph, "rel_props", ["date", "time"], ["row_id", "feed"]).where("is_json")
+    feeds = table(spark, folder, "feeds").groupBy("feed").agg(F.min("zone").alias("zone"), F.min("date_order").alias("date_order"))
+    return normalise_times(said.join(feeds, "feed", "left"), "m_date", "m_time", "feed", "zone", "date_order", FIRST_DAY, LAST_DAY)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    whole = F.coalesce(F.when(~F.col("m_date").rlike(r"(?U)^\s*$"), F.col("m_date")), F.col("m_time"))
+    one = F.coalesce(F.col("m_date").rlike(r"(?U)^\s*$"), F.lit(True)) | F.coalesce(F.col("m_time").rlike(r"(?U)^\s*$"), F.lit(True))
+    done = one & whole.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$")
+    return _times(spark, folder).where("instant is not null").where(~done).select("row_id", time_text.iso(F.col("instant")).alias("instant"))
+
+
+def p1_formats(spark: SparkSession, folder: str) -> DataFrame:
+    return _times(spark, folder).groupBy("feed", "time_status", "time_format").agg(F.count("*").alias("n"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     inner = references.payload_orphans(table(spark, folder, "extraction_result"))
     outer = references.edge_orphans(table(spark, folder, "relationships"), table(spark, folder, "entity"))
@@ -38,5 +62,5 @@ def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return json_flatten.node_table(results, "extraction_id", "payload", lenient=True)
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_nodes": p4_nodes}
+QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_nodes": p4_nodes}
 SQL: dict[str, str] = {}
