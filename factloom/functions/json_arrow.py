@@ -300,7 +300,7 @@ def paths(x: Nodes, prefix: pa.Array | None = None) -> pa.Array:
     return pa.array(out, pa.large_string())
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19):
     """Cut a batch so that the texts of ``column`` in one piece stay near ``limit`` bytes (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     if not len(sizes):

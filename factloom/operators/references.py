@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.json_arrow import nodes, slices
+from factloom.session import written
 
 _BLANK = r"(?U)^\s*$"
 
@@ -99,10 +100,11 @@ def payload_orphans(results: DataFrame) -> DataFrame:
     """Orphan ids inside extraction payloads: ``(extraction_id, doc_id, loaded_at, pos, field, ref, reason)``.
 
     ``late`` if a readable payload of a later round of the same document defines the id, else ``missing``.
-    Everything about one id of one document meets in one shuffle; an answer without doc_id has no later round.
+    The payloads are read once, into a table of references in the shared folder; an answer without doc_id has no
+    later round.
     """
     found = payload_references(results, ["extraction_id", "doc_id", "round_no", "loaded_at"], "payload")
-    found = found.repartition("doc_id", "ref")
+    found = written(found, "references")
     defined = found.where("field is null")
     refs = found.where("field is not null")
     gone = refs.join(
