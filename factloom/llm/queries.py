@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import looks, mixing, split, tokens
+from factloom.llm import looks, mixing, neighbours, split, tokens
 from factloom.llm.sql import SQL  # noqa: F401
 from factloom.tables import table
 
 TOKENIZER = "byte_bpe_50k"
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.mutual(neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5, least=0.8))
+
+
+def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5)
+
+
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     news = table(spark, folder, "news_in").where(F.length("text") > 600).select("doc_id", "text").dropDuplicates()
     news = news.select(F.lit("news_in").alias("tbl"), F.col("doc_id").alias("item_id"), F.lit("text").alias("field"), F.col("text").alias("value"))
@@ -61,4 +69,4 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return looks.one_form(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
