@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from factloom.functions.json_arrow import slices
+from factloom.session import written
 
 # Letters of other scripts that look like a Latin one.
 _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜасеһіјорԛѕѵԝхуԁӏԍҮ", "ABESIJKMHOPCTYXYGQWacehijopqsvwxydlgY"))
@@ -71,63 +76,88 @@ def substituted(token: str) -> str | None:
     return unicodedata.normalize("NFC", out) if out != token else None
 
 
-def _fold_all(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else fold(t) for t in texts.to_pylist()], pa.string())
-
-
-def _candidates(texts: pa.Array) -> pa.Array:
-    out = []
-    for t in texts.to_pylist():
-        found = {w: s for w in set(_TOKEN.findall(t)) if (s := substituted(w)) is not None} if t else {}
-        out.append([{"token": w, "result": s} for w, s in sorted(found.items())])
-    return pa.array(out, pa.list_(pa.struct([("token", pa.string()), ("result", pa.string())])))
+_TABLE = np.arange(0x110000, dtype=np.uint32)
+_LONGER: dict[str, str] = {}
+_GONE, _END = 0x10FFFE, "\U0010ffff"
+for _c, _to in _FOLD.items():
+    if _to is None:
+        _TABLE[_c] = _GONE
+    elif len(_to) == 1:
+        _TABLE[_c] = ord(_to)
+    else:
+        _LONGER[chr(_c)] = _to
+
+
+def fold_all(texts: list[str | None]) -> list[str | None]:
+    """``fold`` of each text, by one table lookup over all characters; texts joined by a noncharacter."""
+    joined = _END.join(t or "" for t in texts)
+    if joined.count(_END) != max(0, len(texts) - 1) or chr(_GONE) in joined:
+        return [None if t is None else fold(t) for t in texts]
+    code = _TABLE[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    joined = code[code != _GONE].tobytes().decode("utf-32-le", "surrogatepass")
+    for c, to in _LONGER.items():
+        if c in joined:
+            joined = joined.replace(c, to)
+    if _JOINER in joined or any(v in joined for v in _VARIATION):
+        joined = _JOINED.sub("", joined)
+    joined = _LINE_END.sub("\n", joined)
+    if not unicodedata.is_normalized("NFC", joined):
+        joined = unicodedata.normalize("NFC", joined)
+    return [None if t is None else f for t, f in zip(texts, joined.split(_END))]
+
+
+def _read(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Folded texts, their tokens with look-alikes (and what they would become), and their plain Latin tokens."""
+    flat = fold_all(rows.column("_text").to_pylist())
+    odd, plain = [], []
+    for t in flat:
+        tokens = set(_TOKEN.findall(t)) if t else set()
+        found = {w: s for w in tokens if (s := substituted(w)) is not None}
+        odd.append([{"token": w, "result": s} for w, s in found.items()])
+        plain.append([w for w in tokens if w not in found and not _ODD.search(w)])
+    pairs = pa.list_(pa.struct([("token", pa.string()), ("result", pa.string())]))
+    return pa.RecordBatch.from_arrays([rows.column("_doc"), pa.array(flat, pa.string()), pa.array(odd, pairs), pa.array(plain, pa.list_(pa.string())), rows.column("_chars")], ["_doc", "_flat", "_odd", "_plain", "_chars"])
 
 
 def _repair(texts: pa.Array, words: pa.Array) -> pa.Array:
     out = []
     for t, w in zip(texts.to_pylist(), words.to_pylist()):
         known = set(w or ())
-        out.append(_TOKEN.sub(lambda m: s if m[0] in known and (s := substituted(m[0])) is not None else m[0], t))
+        out.append(_TOKEN.sub(lambda m: s if m[0] in known and (s := substituted(m[0])) is not None else m[0], t) if known and t else t)
     return pa.array(out, pa.string())
 
 
-def folded(text: Column | str) -> Column:
-    """``fold`` of each text; null stays null."""
-    return F.arrow_udf(_fold_all, "string")(text)
-
-
 def one_form(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(<doc_id>, form, repaired bigint)`` for every row: one consistent form of each text; null stays null.
+    """``(<doc_id>, form, repaired bigint, chars)`` for every row: one consistent form of each text; null stays null.
 
     Widths, spaces, marks, unseen signs, hyphens and line ends are folded in every text. Look-alike letters are
     substituted by token: its dominant script is found, and the letters of other scripts give way if the result is
     in the corpus' vocabulary, that is, if some document writes the result itself or another disguise of it. So
     texts that look the same get the same form even where none of them is clean. Case, traditional and simplified
-    characters and the number of spaces are kept. Only tokens with look-alikes, and the Latin tokens that equal
-    one of their results, cross the shuffle. Ids must be unique and not null; repeated ids repeat rows.
+    characters and the number of spaces are kept. ``chars`` is a digest of the text as it stands. Texts are read
+    and folded once, into a table in the shared folder; only tokens cross the shuffle, distinct within each text.
+    Ids must be unique and not null.
     """
-    base = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    flat = base.select("_doc", folded("_text").alias("_flat"))
-    odd = F.col("_text").rlike(f"[{''.join(LOOK_ALIKE)}]")
-    doubtful = base.where(odd).select("_doc", folded("_text").alias("_flat")).select("_doc", F.explode(F.arrow_udf(_candidates, "array<struct<token:string,result:string>>")("_flat")).alias("_c")).select("_doc", "_c.token", "_c.result")
+    base = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.sha2(text, 256).alias("_chars"))
+    schema = T.StructType([base.schema["_doc"], T.StructField("_flat", T.StringType()), T.StructField("_odd", T._parse_datatype_string("array<struct<token:string,result:string>>")), T.StructField("_plain", T.ArrayType(T.StringType())), T.StructField("_chars", T.StringType())])
+    read = written(base.mapInArrow(lambda batches: (_read(piece) for batch in batches for piece in slices(batch, "_text", 1 << 20)), schema), "looks")
+    doubtful = read.where(F.size("_odd") > 0).select("_doc", F.explode("_odd").alias("_c")).select("_doc", "_c.token", "_c.result")
     spelled = doubtful.select("token", "result").distinct()
     results = spelled.groupBy("result").agg(F.count("*").alias("_n"))
-    latin = flat.select(F.explode(F.array_distinct(F.regexp_extract_all("_flat", F.lit(TOKEN), F.lit(0)))).alias("result")).where(~F.col("result").rlike(f"[{''.join(LOOK_ALIKE)}]"))
-    written = latin.join(results.select("result"), "result", "left_semi").distinct()
-    vocabulary = results.where("_n > 1").select("result").union(written).distinct()
+    plain = read.select(F.explode("_plain").alias("result")).distinct().join(results.select("result"), "result", "left_semi")
+    vocabulary = results.where("_n > 1").select("result").union(plain).distinct()
     repair = spelled.join(vocabulary, "result", "left_semi").select("token")
     by_doc = doubtful.join(repair, "token", "left_semi").groupBy("_doc").agg(F.collect_set("token").alias("_known"))
-    mended = base.where(odd).select("_doc", folded("_text").alias("_flat")).join(by_doc, "_doc", "left")
-    mended = mended.select(F.col("_doc"), F.arrow_udf(_repair, "string")("_flat", "_known").alias("form"), F.coalesce(F.size("_known"), F.lit(0)).cast("bigint").alias("repaired"))
-    plain = base.where(odd.isNull() | ~odd).select("_doc", folded("_text").alias("form"), F.lit(0).cast("bigint").alias("repaired"))
-    return mended.unionByName(plain).withColumnRenamed("_doc", doc_id)
+    mended = read.where(F.size("_odd") > 0).select("_doc", "_flat", "_chars").join(by_doc, "_doc", "left")
+    mended = mended.select("_doc", F.arrow_udf(_repair, "string")("_flat", "_known").alias("form"), F.coalesce(F.size("_known"), F.lit(0)).cast("bigint").alias("repaired"), "_chars")
+    clean = read.where(F.coalesce(F.size("_odd"), F.lit(0)) <= 0).select("_doc", F.col("_flat").alias("form"), F.lit(0).cast("bigint").alias("repaired"), "_chars")
+    return mended.unionByName(clean).withColumnsRenamed({"_doc": doc_id, "_chars": "chars"})
 
 
 def look_groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(<doc_id>, look, chars)`` of texts with a visible character: equal ``look`` means equal form, equal ``chars`` equal text."""
     forms = one_form(docs, doc_id, text).where(visible(F.col("form")))
-    chars = docs.select(F.col(doc_id).alias("_id"), F.sha2(text, 256).alias("chars"))
-    return forms.select(F.col(doc_id).alias("_id"), F.sha2("form", 256).alias("look")).join(chars, "_id").withColumnRenamed("_id", doc_id)
+    return forms.select(doc_id, F.sha2("form", 256).alias("look"), "chars")
 
 
 def visible(form: Column) -> Column:
@@ -141,7 +171,7 @@ def same_look_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     Copies of one text are classes; classes of one look are paired first, then widened to their documents. Looks
     of a single class, whatever their number of copies, drop out before any pairing.
     """
-    members = look_groups(docs, doc_id, text)
+    members = look_groups(docs, doc_id, text).select(doc_id, F.unhex("look").alias("look"), F.unhex("chars").alias("chars"))
     classes = members.groupBy("look", "chars").agg(F.count("*").alias("_n"))
     several = classes.groupBy("look").agg(F.count("*").alias("_k")).where("_k > 1").select("look")
     mixed = members.join(several, "look", "left_semi")
