@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import looks, mixing, neighbours, split, tokens
+from factloom.llm import looks, mixing, names, neighbours, split, tokens
 from factloom.llm.sql import SQL  # noqa: F401
 from factloom.tables import table
 
 TOKENIZER = "byte_bpe_50k"
 
 
+def _forms(spark: SparkSession, folder: str) -> DataFrame:
+    graph = table(spark, folder, "kg_raw_graph")
+    return names.canonical_forms(names.spellings(table(spark, folder, "entity").select("name"), graph.select("head"), graph.select("tail")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_entity_pairs(_forms(spark, folder))
+
+
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return _forms(spark, folder)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.mutual(neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5, least=0.8))
 
@@ -66,7 +79,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
-    return looks.one_form(table(spark, folder, "documents"), "doc_id", "text")
+    return looks.one_form(table(spark, folder, "documents"), "doc_id", "text").drop("chars")
 
 
-QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}

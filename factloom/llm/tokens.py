@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,60 +41,91 @@ def _encoder(name: str, folder: str):
     return tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks(name, folder), special_tokens={})
 
 
-def encode_words(distinct: DataFrame, name: str, folder: str = TOKENIZERS) -> DataFrame:
-    """Adds ``code`` to a table ``(key, word)``: the word's ids as two little-endian bytes each.
+def _encode(name: str, folder: str):
+    """Arrow function: the ids of each word, two little-endian bytes each (vocabularies have fewer than 65,536 ids)."""
+    held: list = []
+
+    def run(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(_encoder(name, folder))
+        return pa.array([np.asarray(held[0].encode_ordinary(w), "<u2").tobytes() for w in texts.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")
 
-    Vocabularies have fewer than 65,536 ids; a word is one unit, so no merge crosses its ends.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(name, folder)
-        for batch in batches:
-            codes = [np.asarray(encoder.encode_ordinary(w), "<u2").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], ["key", "code"])
+def _whole_words(name: str, folder: str):
+    """Arrow function: the id of each word that is one entry of the vocabulary, -1 for the others."""
+    held: dict = {}
 
-    return distinct.select("key", "word").mapInArrow(run, "key bigint, code binary")
+    def run(lists: pa.Array) -> pa.Array:
+        if not held:
+            for piece, i in ranks(name, folder).items():
+                try:
+                    held[piece.decode()] = i
+                except UnicodeDecodeError:
+                    continue
+        flat = lists.flatten().to_pylist()
+        ids = np.fromiter((held.get(w, -1) for w in flat), np.int32, len(flat))
+        offsets = np.asarray(lists.offsets).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(ids))
 
+    return F.arrow_udf(run, "array<int>")
 
-def _distinct_words(docs: DataFrame, text: str) -> DataFrame:
-    """``(key, word)`` for each distinct word; raises should two words ever share a 64-bit key."""
-    word = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).select(F.xxhash64("word").alias("key"), "word")
-    one = word.groupBy("key").agg(F.min("word").alias("word"), F.max("word").alias("_other"))
-    same = F.when(F.col("word") == F.col("_other"), F.col("word")).otherwise(F.raise_error(F.lit("two words share a key")).cast("string"))
-    return one.select("key", same.alias("word"))
+
+def word_table(docs: DataFrame, text: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
+    """``(key, code)`` for each distinct word: its 64-bit key and its ids, two little-endian bytes each.
+
+    A word is encoded once, where its rows have met, so the table is already partitioned for the join. Raises
+    should two words ever share a key.
+    """
+    word = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).select(F.xxhash64("word").alias("key"), "word", F.hash("word").alias("_g"))
+    one = word.groupBy("key").agg(F.first("word").alias("word"), F.min("_g").alias("_a"), F.max("_g").alias("_b"))
+    same = F.when(F.col("_a") == F.col("_b"), F.col("word")).otherwise(F.raise_error(F.lit("two words share a key")).cast("string"))
+    return one.select("key", _encode(name, folder)(same).alias("code"))
 
 
 def encode_corpus(docs: DataFrame, doc_id: str, text: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
     """``(<doc_id>, ids array<int>)`` for every row of ``docs``; null and empty texts give the empty list.
 
-    Texts are split into words by the JVM; each distinct word of the corpus is encoded once; the codes are joined
-    back by the word's key and put in order by position. A document's positions of one word travel together, so
-    a frequent word costs a row per document and not per occurrence, and adaptive execution splits the partition
-    of a word that many documents have. Ids must be unique and not null; other columns are not read.
+    Texts are split into words by the JVM. Words that are entries of the vocabulary as they stand have their id at
+    once and stay with their document; of the others, each distinct word of the corpus is encoded once, in a table
+    of words, and its ids are joined back by the word's key and filled in by position. Adaptive execution splits
+    the partition of a word that many documents have. Ids must be unique and not null; other columns are not read.
     """
-    table = encode_words(_distinct_words(docs, text), name, folder)
-    found = docs.select(F.col(doc_id).alias("_doc"), words(F.col(text)).alias("_words")).where(F.size("_words") > 0)
-    placed = found.select("_doc", F.posexplode("_words").alias("_pos", "_word")).select("_doc", "_pos", F.xxhash64("_word").alias("key"))
-    coded = placed.join(table, "key").groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("_pos", "code"))).alias("_codes"))
-
-    @F.arrow_udf("array<int>")
-    def ids(codes: pa.Array) -> pa.Array:
-        flat = codes.flatten()
-        code = flat.field("code")
-        ends = np.frombuffer(code.buffers()[1], np.int32)[code.offset : code.offset + len(code) + 1]
-        data = np.frombuffer(code.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(code) else np.zeros(0, np.uint8)
-        offsets = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
-        values = pa.array(data.view("<u2").astype(np.int32))
-        cut = (ends - ends[0])[offsets - offsets[0]] // 2 if len(code) else np.zeros(len(codes) + 1, np.int32)
-        return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), values)
-
-    empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(doc_id).alias(doc_id), F.array().cast("array<int>").alias("ids"))
-    return coded.select(F.col("_doc").alias(doc_id), ids(F.col("_codes")).alias("ids")).unionByName(empty)
+    table = word_table(docs, text, name, folder)
+    found = docs.select(F.col(doc_id).alias("_doc"), words(F.col(text)).alias("_words"))
+    found = found.withColumn("_known", _whole_words(name, folder)(F.coalesce("_words", F.array().cast("array<string>"))))
+    keyed = F.transform("_words", lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w).alias("key"), F.get("_known", i).alias("id")))
+    placed = found.where(F.exists("_known", lambda i: i < 0)).select("_doc", F.explode(F.filter(keyed, lambda x: x["id"] < 0)).alias("_w"))
+    placed = placed.select("_doc", F.col("_w.pos").alias("_pos"), F.col("_w.key").alias("key"))
+    coded = placed.join(table, "key").select("_doc", F.concat(F.unhex(F.lpad(F.hex("_pos"), 8, "0")), "code").alias("_c"))
+    coded = coded.groupBy("_doc").agg(F.sort_array(F.collect_list("_c")).alias("_codes"))
+    return found.select("_doc", "_known").join(coded, "_doc", "left").select(F.col("_doc").alias(doc_id), F.arrow_udf(_filled, "array<int>")("_known", F.coalesce("_codes", F.array().cast("array<binary>"))).alias("ids"))
+
+
+def _filled(known: pa.Array, codes: pa.Array) -> pa.Array:
+    """The lists ``known`` with each -1 replaced, in order, by the ids of the next of ``codes`` (4 bytes place, then ids)."""
+    ids = np.asarray(known.flatten()).astype(np.int64)
+    offsets = np.asarray(known.offsets).astype(np.int64)
+    offsets = offsets - offsets[0]
+    flat = codes.flatten()
+    size = (np.asarray(pc.binary_length(flat)).astype(np.int64) - 4) // 2
+    data = np.frombuffer(b"".join(flat.to_pylist()), "<u2")
+    start = np.append(0, np.cumsum(size + 2))[:-1] + 2
+    gaps = np.flatnonzero(ids < 0)
+    width = np.ones(len(ids), np.int64)
+    width[gaps] = size
+    ends = np.append(0, np.cumsum(width))
+    out = np.empty(ends[-1], np.int32)
+    out[ends[:-1][ids >= 0]] = ids[ids >= 0]
+    within = np.arange(size.sum()) - np.repeat(np.append(0, np.cumsum(size))[:-1], size)
+    out[np.repeat(ends[:-1][gaps], size) + within] = data[np.repeat(start, size) + within]
+    return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out))
 
 
 def count_tokens(docs: DataFrame, keys: list[str], text: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
-    """``(<keys>, n_tokens bigint)`` for every row of ``docs`` by the same distinct-word table; keys must be unique."""
-    table = encode_words(_distinct_words(docs, text), name, folder).select("key", (F.octet_length("code") / 2).cast("int").alias("_n"))
+    """``(<keys>, n_tokens bigint)`` for every row of ``docs`` by the same table of words; keys must be unique."""
+    table = word_table(docs, text, name, folder).select("key", (F.octet_length("code") / 2).cast("int").alias("_n"))
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     placed = docs.select(*named, F.explode_outer(words(F.col(text))).alias("_word")).select(*(f"_k{i}" for i in range(len(keys))), F.xxhash64("_word").alias("key"))
     size = placed.join(table, "key", "left").groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_tokens"))
