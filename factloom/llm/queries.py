@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import looks, mixing, names, neighbours, split, tokens
+from factloom.functions.json_arrow import member_columns
+from factloom.llm import looks, mixing, names, neardup, neighbours, split, tokens
 from factloom.llm.sql import SQL  # noqa: F401
 from factloom.tables import table
 
@@ -33,6 +34,20 @@ def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5)
 
 
+def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+    edges = table(spark, folder, "relationships").select(F.col("edge_id").alias("rec"), "evidence").dropDuplicates(["rec"])
+    graph = member_columns(table(spark, folder, "kg_raw_graph"), "rel_props", ["evidence"], ["row_id"]).where("is_json")
+    return edges.union(graph.select("row_id", "m_evidence")).where("evidence is not null")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.record_pairs(*neardup.near_duplicates(_evidence(spark, folder), "rec", "evidence"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(*neardup.near_duplicates(_evidence(spark, folder), "rec", "evidence"))
+
+
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     news = table(spark, folder, "news_in").where(F.length("text") > 600).select("doc_id", "text").dropDuplicates()
     news = news.select(F.lit("news_in").alias("tbl"), F.col("doc_id").alias("item_id"), F.lit("text").alias("field"), F.col("text").alias("value"))
@@ -82,4 +97,4 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return looks.one_form(table(spark, folder, "documents"), "doc_id", "text").drop("chars")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_nearest": p5_nearest, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
