@@ -283,12 +283,12 @@ def names_of(x: Nodes, which: np.ndarray) -> pa.Array:
 
 
 def paths(x: Nodes, prefix: pa.Array | None = None) -> pa.Array:
-    """Path of every node, built level by level from the parents' paths; ``prefix`` is the path of the roots."""
+    """Path of every node, built level by level from the parents' paths; ``prefix`` has the path of each input row's root."""
     n = len(x.row)
     out = np.full(n, "", object)
     if prefix is not None:
         roots = np.flatnonzero(x.parent < 0)
-        out[roots] = prefix.to_numpy(zero_copy_only=False)
+        out[roots] = prefix.to_numpy(zero_copy_only=False)[x.row[roots]]
     for level in range(1, int(x.depth.max(initial=0)) + 1):
         own = np.flatnonzero(x.depth == level)
         if not len(own):

@@ -37,11 +37,16 @@ def drop_trailing_commas(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r",\s*([}\]])", "$1")
 
 
+def is_json(text: Column | str) -> Column:
+    """Whether the whole text is one JSON value: in brackets it makes a list of one. Equal member names are allowed."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), _col(text), F.lit("]"))) == 1, F.lit(False))
+
+
 def safe_json(text: Column | str) -> Column:
     """Text of the JSON value, if need be after commas before closing brackets are taken out; null if it can't be read."""
     cleaned = clean_json_fence(text)
     mended = drop_trailing_commas(cleaned)
-    return F.when(F.try_parse_json(cleaned).isNotNull(), cleaned).when(F.try_parse_json(mended).isNotNull(), mended)
+    return F.when(is_json(cleaned), cleaned).when(is_json(mended), mended)
 
 
 def first_json_object(text: Column | str) -> Column:
@@ -62,13 +67,13 @@ def extract_json_block(text: Column | str) -> Column:
     """The object in a json code fence, else the first balanced object; null if it isn't JSON."""
     fenced = F.regexp_extract(_col(text), r"(?is)```json\s*(\{.*?\})\s*```", 1)
     found = F.coalesce(F.when(fenced != "", fenced), first_json_object(text))
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    return F.when(is_json(found), found)
 
 
 def payload_object(text: Column | str) -> Column:
     """From the first ``{`` to the last ``}``, commas before closing brackets taken out; null if it isn't a JSON object."""
     body = drop_trailing_commas(F.regexp_extract(_col(text), r"(?s)\{.*\}", 0))
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    return F.when((body != "") & is_json(body), body)
 
 
 def ensure_list(text: Column | str) -> Column:
@@ -80,7 +85,7 @@ def ensure_list(text: Column | str) -> Column:
 
 def json_props(text: Column | str) -> Column:
     """Property text as map, the last of equal names winning; null, blank and broken text give the empty map."""
-    read = F.from_json(_col(text), "map<string,string>")
+    read = F.when(is_json(text), F.from_json(_col(text), "map<string,string>"))
     names = F.array_distinct(F.map_keys(read))
     last = F.transform(names, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(F.map_entries(read), lambda e: e["key"] == k), -1)["value"].alias("value")))
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))

@@ -189,7 +189,7 @@ def instant(day: Column, epoch: Column, parsed: Column, zone: Column) -> Column:
     return F.when(epoch.isNotNull(), zero + F.make_dt_interval(nil, nil, nil, micros(epoch))).otherwise(placed)
 
 
-def iso(ts: Column) -> Column:
+def iso(ts: Column | str) -> Column:
     """A TIMESTAMP_NTZ as ``yyyy-MM-ddTHH:mm:ss.SSSSSSZ``, whatever the session's zone."""
-    text = ts.cast("string")
+    text = (F.col(ts) if isinstance(ts, str) else ts).cast("string")
     return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"), F.lit("Z"))

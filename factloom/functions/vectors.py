@@ -18,8 +18,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector scaled to length 1, in double precision; null for a null, empty or all-zero one."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    lengths = F.array_repeat(F.nullif(norm(v), F.lit(0.0)), F.size(v))  # worked out once, not for each number
+    return F.when(F.exists(v, lambda x: x != 0), F.zip_with(v, lengths, lambda x, n: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

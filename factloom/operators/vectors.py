@@ -26,9 +26,10 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 100, least: float
     take no part; all vectors must be of one length. A query that is also a row finds itself.
     """
     has = F.exists("vec", lambda x: x != 0)
-    q, r = queries.select("q_id", "vec").where(has), rows.select("r_id", "vec").where(has)
+    fresh = lambda df, i: df.where(has).select(F.col(i).cast("bigint").alias(i), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    q, r = fresh(queries, "q_id"), fresh(rows, "r_id")
     nq, nr = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-r.count() // ROW_BLOCK))
-    spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("bigint"))
+    spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
     q, r = spread(q, "_q", nq, "_r", nr), spread(r, "_r", nr, "_q", nq)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -1,0 +1,19 @@
+"""Schemas of the tables that pass between the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def _of(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_S = T.StringType()
+DOCUMENT = _of(doc_id=_S, text=_S)
+TRIPLE = _of(head=_S, relation=_S, tail=_S)
+NODE = _of(name=_S, id=_S, type=_S, props=T.MapType(_S, _S))
+EDGE = _of(source_name=_S, target_name=_S, relation=_S, evidence=_S, doc_id=_S, date=_S)
+GRAPH = _of(head=_S, relation=_S, tail=_S, head_props=_S, rel_props=_S, tail_props=_S)
+ANSWER = _of(doc_id=_S, round_no=T.IntegerType(), raw=_S)
+VECTOR = _of(row_id=T.LongType(), embedding=T.ArrayType(T.FloatType()))
