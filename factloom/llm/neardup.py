@@ -1,6 +1,9 @@
-"""Near-duplicate texts by an exact set-similarity join: partitions of the token universe and one-deletion neighbourhoods.
+"""Near-duplicate texts by an exact set-similarity join: rarest-token prefixes, or a partition of the token universe.
 
-Texts are sets of character sequences. For sizes of one band, similarity at least t bounds the number of tokens in
+Texts are sets of character sequences. Prefixes: two similar sets share one of their rarest tokens, so each set is
+filed under those only, and pairs that meet are sifted by sizes and parity signatures before they are verified.
+
+Partition: for sizes of one band, similarity at least t bounds the number of tokens in
 which two sets may differ by some H. The universe is hashed into m segments; if a set spends H + 1 units on its
 segments (one unit: the other set agrees exactly there; two: it differs by one token at most), then every similar set
 meets it in some segment it paid for. Each set spends its units where that is cheapest by token frequency.
@@ -22,7 +25,12 @@ from factloom.session import written
 CELLS = 1 << 20
 #: Segments for each unit to spend; above 1/2, so that costly segments can be passed over.
 SPARE = 0.65
+#: Sizes from here on are not told apart by the signatures; such sets are always verified.
+LONG = (1 << 14) - 1
+#: Rows of one key that are compared in one task; a more frequent key is split into blocks.
+HOT = 50_000
 _NEVER = 1e9
+_PROBE, _INDEX = 1 << 14, 1 << 15
 _U = np.uint64
 
 
@@ -103,12 +111,12 @@ def _allocate(one: np.ndarray, two: np.ndarray, need: np.ndarray) -> np.ndarray:
 
 
 def _signature(row: np.ndarray, token: np.ndarray, n: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parities of 112 token classes; two sets differ in at least as many tokens as parities. Low 16 bits: the size."""
+    """Parities of 112 token classes; two sets differ in at least as many tokens as parities. Low 14 bits: the size."""
     place = (_mix(token, 0x77) % _U(112)).astype(np.int64)
     odd = (np.bincount(row * 112 + place, minlength=n * 112) & 1).reshape(n, 112).astype(np.uint64)
     high = (odd[:, :64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
     low = (odd[:, 64:] << np.arange(16, 64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return high, low | np.minimum(size, 65535).astype(np.uint64)
+    return high, low | np.minimum(size, LONG).astype(np.uint64)
 
 
 def _keys(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray):
@@ -194,9 +202,9 @@ def _meet(batches, least: float):
 
 
 def _possible(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, least: float) -> np.ndarray:
-    sizes = (x2 & _U(65535)).astype(np.int64), (y2 & _U(65535)).astype(np.int64)
-    differ = np.bitwise_count(x1 ^ y1).astype(np.int64) + np.bitwise_count((x2 ^ y2) >> _U(16))
-    return (differ <= (1 - least) / (1 + least) * (sizes[0] + sizes[1]) + 1e-9) | (sizes[0] == 65535) | (sizes[1] == 65535)
+    sizes = (x2 & _U(LONG)).astype(np.int32), (y2 & _U(LONG)).astype(np.int32)
+    differ = np.bitwise_count(x1 ^ y1).astype(np.int32) + np.bitwise_count((x2 ^ y2) >> _U(16))
+    return (differ <= (1 - least) / (1 + least) * (sizes[0] + sizes[1]) + 1e-9) | (sizes[0] == LONG) | (sizes[1] == LONG)
 
 
 def _similar(left: pa.Array, right: pa.Array, least: float) -> pa.Array:
@@ -213,6 +221,71 @@ def _similar(left: pa.Array, right: pa.Array, least: float) -> pa.Array:
     return pa.array(np.divide(common, either, out=np.zeros(n), where=either > 0) >= least)
 
 
+def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray):
+    """Rows ``(key, who, s1, s2)`` for the rarest tokens of each set, rarest by the sketch, ties by the token.
+
+    Of two similar sets, the larger one's first n - ceil(t n) + 1 tokens and the smaller one's first
+    n - ceil(2 t n / (1 + t)) + 1 have one in common; two bits of ``s2`` tell which of the two a row serves.
+    """
+    row, token = tokens(texts)
+    n = len(texts)
+    size = np.bincount(row, minlength=n)
+    s1, s2 = _signature(row, token, n, size)
+    df = freq[(_mix(token, 0x51ED) & _U(CELLS - 1)).astype(np.int64)]
+    order = np.lexsort((token, df, row))
+    row, token, df = row[order], token[order], df[order]
+    rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    probe = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    index = size - np.ceil(2 * least / (1 + least) * size - 1e-9).astype(np.int64) + 1
+    keep = rank < probe[row]
+    row, token, df, rank = row[keep], token[keep], df[keep], rank[keep]
+    indexed = rank < index[row]
+    flags = np.where(indexed, _PROBE | _INDEX, _PROBE).astype(_U)
+    hot = df > HOT
+    yield _mix(token[~hot], 0x3C) & _U(0xFFFFFFFF), ids[row[~hot]], s1[row[~hot]], s2[row[~hot]] | flags[~hot]
+    for k in np.flatnonzero(hot):  # each pair of blocks of a hot key has a key of its own
+        blocks = int(df[k] // HOT) + 1
+        mine = int(_mix(np.array([ids[row[k]]], np.int64).view(_U), 0x9)[0] % _U(blocks))
+        for other in range(blocks):
+            key = _mix(np.array([token[k]]) ^ _mix(np.array([min(mine, other) * blocks + max(mine, other)], _U), 0x5), 0x3C) & _U(0xFFFFFFFF)
+            yield key, ids[row[k : k + 1]], s1[row[k : k + 1]], s2[row[k : k + 1]] | flags[k : k + 1]
+
+
+def _pair_up(batches, least: float):
+    """Pairs of sets with a common key whose sizes, roles and signatures allow the similarity; rows come by key."""
+    held = None
+    for batch in batches:
+        key, who = np.asarray(batch.column("key")), np.asarray(batch.column("who"))
+        s1, s2 = (np.asarray(batch.column(c)).view(np.uint64) for c in ("s1", "s2"))
+        if not len(key):
+            continue
+        old = 0
+        if held is not None and held[0][0] == key[0]:
+            old = len(held[0])
+            key, who, s1, s2 = (np.concatenate(p) for p in zip(held, (key, who, s1, s2)))
+        first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
+        before = np.arange(len(key)) - first  # rows of the same key that came before
+        new = np.arange(old, len(key))
+        cuts = np.searchsorted(np.cumsum(before[new]), np.arange(0, before[new].sum() + 1, 1 << 18))
+        found = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(new))):
+            part = new[a:b]
+            times = before[part]
+            y = np.repeat(part, times)
+            x = first[y] + np.arange(len(y)) - np.repeat(np.cumsum(times) - times, times)
+            ok = _possible(s1[x], s2[x], s1[y], s2[y], least)
+            x, y = x[ok], y[ok]
+            nx, ny = s2[x] & _U(LONG), s2[y] & _U(LONG)
+            roles = ((s2[y] & _U(_INDEX)) > 0) & (nx >= ny) | ((s2[x] & _U(_INDEX)) > 0) & (ny >= nx)
+            fits = np.minimum(nx, ny) >= least * np.maximum(nx, ny) - 1e-9
+            ok = roles & (fits | (np.maximum(nx, ny) == LONG)) & (who[x] != who[y])
+            found.append(np.stack([np.minimum(who[x[ok]], who[y[ok]]), np.maximum(who[x[ok]], who[y[ok]])], 1))
+        start = first[-1]
+        held = tuple(c[start:].copy() for c in (key, who, s1, s2))
+        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+
 def text_classes(records: DataFrame, rec: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Tables ``(rec, rep)`` of all records with a token and ``(rep, plain)`` of their distinct texts; ``rep`` is the first record of a text."""
     base = records.select(F.col(rec).alias("rec"), F.arrow_udf(lambda t: pa.array([plain(x) for x in t.to_pylist()], pa.string()), "string")(F.col(text)).alias("plain"))
@@ -225,11 +298,13 @@ def text_classes(records: DataFrame, rec: str, text: str) -> tuple[DataFrame, Da
     return member.unionByName(alone).distinct(), classes.select("rep", "plain")
 
 
-def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
+def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefix") -> DataFrame:
     """``(a, b)``, ``a`` < ``b``: representatives whose texts' token sets have Jaccard similarity ``least`` or more. Exact.
 
-    The corpus' token frequencies come as a sketch of CELLS counters; they only steer where units are spent.
-    Rows of one key are compared in the order of the shuffle's sort: the probes are held, index rows stream by.
+    ``method``: ``partition`` is the universe partition with one-deletion neighbourhoods; it sends some 300 rows a text
+    through the shuffle. ``prefix`` sends a row for each of a text's rarest tokens, about 0.4 of them at 0.6.
+    Both order or allocate by the corpus' token frequencies, a sketch of CELLS counters that steers the work and
+    not the result. Rows of one key are compared as they stream by in the order of the shuffle's sort.
     """
     spark = classes.sparkSession
 
@@ -245,17 +320,19 @@ def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
     freq[np.asarray(counts.column("cell"))] = np.asarray(counts.column("n"))
     held = spark.sparkContext.broadcast(freq.astype(np.float32))
 
+    make, meet, order = (_keys, _meet, ["key", "who"]) if method == "partition" else (_prefix_rows, _pair_up, ["key"])
+
     def keys(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                for key, who, s1, s2 in _keys(np.asarray(part.column("rep")), part.column("plain").to_pylist(), least, held.value):
+                for key, who, s1, s2 in make(np.asarray(part.column("rep")), part.column("plain").to_pylist(), least, held.value):
                     for b in range(0, len(key), 1 << 16):
                         cut = slice(b, b + (1 << 16))
                         yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(who[cut]), pa.array(s1[cut].view(np.int64)), pa.array(s2[cut].view(np.int64))], ["key", "who", "s1", "s2"])
 
     rows = classes.mapInArrow(keys, "key bigint, who bigint, s1 bigint, s2 bigint")
-    met = rows.repartition("key").sortWithinPartitions("key", "who").mapInArrow(lambda b: _meet(b, least), "a bigint, b bigint").distinct()
+    met = rows.repartition("key").sortWithinPartitions(*order).mapInArrow(lambda b: meet(b, least), "a bigint, b bigint").distinct()
     texts = classes.select(F.col("rep").alias("a"), F.col("plain").alias("_x"))
     other = classes.select(F.col("rep").alias("b"), F.col("plain").alias("_y"))
     checked = met.join(texts, "a").join(other, "b").where(F.arrow_udf(lambda x, y: _similar(x, y, least), "boolean")("_x", "_y"))
