@@ -7,12 +7,14 @@ import os
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folder of the public tokenizers' vocabulary files; a parameter of every function that reads them.
 TOKENIZERS = "/opt/tokenizers"
+#: Word occurrences that are packed at a time, and words that a task's table holds at once.
+PACK = 1 << 18
 # The split pattern of the byte-level vocabularies, and letters newer than the JVM's tables.
 _NEWER = r"\x{31350}-\x{323AF}\x{2EBF0}-\x{2EE5D}\x{1DF00}-\x{1DF1E}\x{9FFD}-\x{9FFF}\x{2A6DE}-\x{2A6DF}\x{2B735}-\x{2B739}"
 PATTERN = rf"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}{_NEWER}]+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}{_NEWER}]+|\s+(?!\S)|\s+"
@@ -53,25 +55,6 @@ def _encode(name: str, folder: str):
     return F.arrow_udf(run, "binary")
 
 
-def _whole_words(name: str, folder: str):
-    """Arrow function: the id of each word that is one entry of the vocabulary, -1 for the others."""
-    held: dict = {}
-
-    def run(lists: pa.Array) -> pa.Array:
-        if not held:
-            for piece, i in ranks(name, folder).items():
-                try:
-                    held[piece.decode()] = i
-                except UnicodeDecodeError:
-                    continue
-        flat = lists.flatten().to_pylist()
-        ids = np.fromiter((held.get(w, -1) for w in flat), np.int32, len(flat))
-        offsets = np.asarray(lists.offsets).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(ids))
-
-    return F.arrow_udf(run, "array<int>")
-
-
 def word_table(docs: DataFrame, text: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
     """``(key, code)`` for each distinct word: its 64-bit key and its ids, two little-endian bytes each.
 
@@ -87,40 +70,84 @@ def word_table(docs: DataFrame, text: str, name: str, folder: str = TOKENIZERS)
 def encode_corpus(docs: DataFrame, doc_id: str, text: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
     """``(<doc_id>, ids array<int>)`` for every row of ``docs``; null and empty texts give the empty list.
 
-    Texts are split into words by the JVM. Words that are entries of the vocabulary as they stand have their id at
-    once and stay with their document; of the others, each distinct word of the corpus is encoded once, in a table
-    of words, and its ids are joined back by the word's key and filled in by position. Adaptive execution splits
-    the partition of a word that many documents have. Ids must be unique and not null; other columns are not read.
+    The JVM splits texts into words and sends each occurrence to where all of its word meet; there the word is
+    encoded once, into that task's part of the table of distinct words, and the ids go back to their documents
+    by position, packed by document. The exchange is a rebalance: a word that a large part of all occurrences have
+    is split over several tasks, each of which encodes it once. Ids must be unique and not null; other columns are
+    not read.
     """
-    table = word_table(docs, text, name, folder)
-    found = docs.select(F.col(doc_id).alias("_doc"), words(F.col(text)).alias("_words"))
-    found = found.withColumn("_known", _whole_words(name, folder)(F.coalesce("_words", F.array().cast("array<string>"))))
-    keyed = F.transform("_words", lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w).alias("key"), F.get("_known", i).alias("id")))
-    placed = found.where(F.exists("_known", lambda i: i < 0)).select("_doc", F.explode(F.filter(keyed, lambda x: x["id"] < 0)).alias("_w"))
-    placed = placed.select("_doc", F.col("_w.pos").alias("_pos"), F.col("_w.key").alias("key"))
-    coded = placed.join(table, "key").select("_doc", F.concat(F.unhex(F.lpad(F.hex("_pos"), 8, "0")), "code").alias("_c"))
-    coded = coded.groupBy("_doc").agg(F.sort_array(F.collect_list("_c")).alias("_codes"))
-    return found.select("_doc", "_known").join(coded, "_doc", "left").select(F.col("_doc").alias(doc_id), F.arrow_udf(_filled, "array<int>")("_known", F.coalesce("_codes", F.array().cast("array<binary>"))).alias("ids"))
-
-
-def _filled(known: pa.Array, codes: pa.Array) -> pa.Array:
-    """The lists ``known`` with each -1 replaced, in order, by the ids of the next of ``codes`` (4 bytes place, then ids)."""
-    ids = np.asarray(known.flatten()).astype(np.int64)
-    offsets = np.asarray(known.offsets).astype(np.int64)
-    offsets = offsets - offsets[0]
-    flat = codes.flatten()
-    size = (np.asarray(pc.binary_length(flat)).astype(np.int64) - 4) // 2
-    data = np.frombuffer(b"".join(flat.to_pylist()), "<u2")
-    start = np.append(0, np.cumsum(size + 2))[:-1] + 2
-    gaps = np.flatnonzero(ids < 0)
-    width = np.ones(len(ids), np.int64)
-    width[gaps] = size
-    ends = np.append(0, np.cumsum(width))
-    out = np.empty(ends[-1], np.int32)
-    out[ends[:-1][ids >= 0]] = ids[ids >= 0]
-    within = np.arange(size.sum()) - np.repeat(np.append(0, np.cumsum(size))[:-1], size)
-    out[np.repeat(ends[:-1][gaps], size) + within] = data[np.repeat(start, size) + within]
-    return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out))
+    placed = docs.select(F.col(doc_id).alias("_doc"), F.posexplode(words(F.col(text))).alias("_pos", "_word")).hint("rebalance", "_word")
+    schema = T.StructType([placed.schema["_doc"], T.StructField("places", T.BinaryType()), T.StructField("codes", T.BinaryType())])
+    packed = placed.mapInArrow(_pack(name, folder), schema)
+    coded = packed.groupBy("_doc").agg(F.collect_list(F.struct("places", "codes")).alias("_parts"))
+    empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(doc_id).alias(doc_id), F.array().cast("array<int>").alias("ids"))
+    return coded.select(F.col("_doc").alias(doc_id), F.arrow_udf(_in_order, "array<int>")("_parts").alias("ids")).unionByName(empty)
+
+
+def _pack(name: str, folder: str):
+    """Arrow function over word occurrences: one row per document and PACK of them, with the places and ids of its words."""
+
+    def run(batches):
+        encoder, table, held, rows = _encoder(name, folder), {}, [], 0
+        for batch in batches:
+            word = batch.column("_word").dictionary_encode()
+            distinct = word.dictionary.to_pylist()
+            if len(table) > PACK:
+                table.clear()
+            for w in distinct:
+                if w not in table:
+                    table[w] = np.asarray(encoder.encode_ordinary(w), "<u2")
+            codes = [table[w] for w in distinct]
+            size = np.fromiter(map(len, codes), np.int64, len(codes))
+            start, at = np.append(0, np.cumsum(size))[:-1], np.asarray(word.indices)
+            n = size[at]
+            flat = np.concatenate(codes)[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            held.append((batch.column("_doc"), np.asarray(batch.column("_pos")), n, flat))
+            rows += batch.num_rows
+            if rows >= PACK:
+                yield _packed(held)
+                held, rows = [], 0
+        if held:
+            yield _packed(held)
+
+    return run
+
+
+def _packed(held: list) -> pa.RecordBatch:
+    docs = pa.chunked_array([h[0] for h in held]).combine_chunks().dictionary_encode()
+    doc, pos, n, flat = np.asarray(docs.indices), *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+    order = np.lexsort((pos, doc))
+    start = np.cumsum(n) - n
+    size = n[order]
+    codes = flat[np.repeat(start[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    places = np.empty(len(order), np.dtype([("pos", "<u4"), ("n", "<u4")]))
+    places["pos"], places["n"] = pos[order], size
+    per = np.bincount(doc, minlength=len(docs.dictionary))
+    of_place, of_code = np.append(0, np.cumsum(per)) * 8, np.append(0, np.cumsum(np.bincount(doc, n, len(per)))) * 2
+    cut = lambda ends, data: pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([docs.dictionary, cut(of_place, places), cut(of_code, codes)], ["_doc", "places", "codes"])
+
+
+def _in_order(parts: pa.Array) -> pa.Array:
+    """The ids of each document from its packed parts, by place."""
+    offsets = np.asarray(parts.offsets).astype(np.int64)
+    flat = parts.flatten()
+
+    def data(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind), ends - ends[0]
+
+    if not len(flat):
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(parts) + 1, np.int32)), pa.array([], pa.int32()))
+    places, ends = data(flat.field("places"), np.dtype([("pos", "<u4"), ("n", "<u4")]))
+    codes, _ = data(flat.field("codes"), "<u2")
+    words_to = (ends // 8)[offsets - offsets[0]]
+    doc = np.repeat(np.arange(len(parts)), np.diff(words_to))
+    n = places["n"].astype(np.int64)
+    order = np.lexsort((places["pos"], doc))
+    size = n[order]
+    ids = codes[np.repeat((np.cumsum(n) - n)[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size))[words_to].astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 def count_tokens(docs: DataFrame, keys: list[str], text: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
