@@ -63,4 +63,19 @@ def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_nodes": p4_nodes}
-SQL: dict[str, str] = {}
+_OBJECT = r"""regexp_replace(regexp_extract(payload, '(?s)\{.*\}'), ',\s*([}\]])', '\1', 'g')"""
+_READ = rf"""x as (select distinct extraction_id, doc_id, round_no, {_OBJECT} b from extraction_result where payload is not null), g as (select * from x where b <> '' and json_valid(b) and json_type(b) = 'OBJECT')"""
+_ORPHANS = rf"""{_READ},
+  own as (select extraction_id, doc_id, round_no, upper(trim(unnest(json_extract_string(b, '$.entities[*].id')))) id from g),
+  rel as (select extraction_id, doc_id, round_no, unnest(json_extract(b, '$.relations[*]')) r, generate_subscripts(json_extract(b, '$.relations[*]'), 1) - 1 pos from g),
+  two as (select *, 'source' field, r->'source' v from rel union all select *, 'target', r->'target' from rel),
+  one as (select extraction_id, doc_id, round_no, pos, field, unnest(case when json_type(v) = 'ARRAY' then json_extract_string(v, '$[*]') when json_type(v) = 'NULL' then [] else [v->>'$'] end) s from two where v is not null),
+  ref as (select distinct extraction_id, doc_id, round_no, pos, field, upper(trim(unnest(string_split_regex(s, '[,、]')))) ref from one where s is not null),
+  gone as (select * from ref where ref <> '' and not exists (select 1 from own where own.extraction_id = ref.extraction_id and own.id = ref.ref)),
+  ent as (select distinct name, loaded_at a, deleted_at d from entity), ed as (select distinct edge_id, loaded_at, unnest([{{f: 'source_name', n: source_name}}, {{f: 'target_name', n: target_name}}]) e from relationships)"""
+SQL: dict[str, str] = {
+    "p2_found": rf"""with {_ORPHANS}
+      select 'relations' tbl, extraction_id rec_id, pos::bigint pos, field, ref, case when exists (select 1 from own where own.doc_id = gone.doc_id and own.id = gone.ref and own.round_no > gone.round_no) then 'late' else 'missing' end reason from gone
+      union all select 'relationships', edge_id, 0, e.f, e.n, case when a is null then 'missing' when a > loaded_at then 'late' else 'deleted' end
+      from ed left join ent on ent.name = e.n where not regexp_full_match(e.n, '[\t-\r\x{{85}}\p{{Z}}]*') and (a is null or a > loaded_at or d <= loaded_at)""",
+}
