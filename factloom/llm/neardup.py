@@ -29,8 +29,11 @@ SPARE = 0.65
 LONG = (1 << 14) - 1
 #: Rows of one key that are compared in one task; a more frequent key is split into blocks.
 HOT = 50_000
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+SMALL = 1_000_000
 _NEVER = 1e9
-_PROBE, _INDEX = 1 << 14, 1 << 15
+_END = "\U0010ffff"
+_WORDLY: list[np.ndarray] = []
 _U = np.uint64
 
 
@@ -39,7 +42,25 @@ def plain(text: str | None) -> str | None:
     return None if text is None else "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
 
 
-def tokens(texts: list[str], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def plain_all(texts: list[str | None]) -> list[str | None]:
+    """``plain`` of each text, over all characters at once; texts joined by a noncharacter."""
+    joined = _END.join(t or "" for t in texts)
+    if joined.count(_END) != max(0, len(texts) - 1):
+        return [plain(t) for t in texts]
+    if not _WORDLY:
+        _WORDLY.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+        _WORDLY[0][ord(_END)] = True
+    code = np.frombuffer(unicodedata.normalize("NFKC", joined).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = code[_WORDLY[0][code]].tobytes().decode("utf-32-le", "surrogatepass").split(_END)
+    return [None if t is None else k for t, k in zip(texts, kept)]
+
+
+def windows(texts: list[str], width: int = 3) -> np.ndarray:
+    """All sequences of ``width`` characters of the texts, repeated ones too, in no order."""
+    return tokens(texts, width, False)[1]
+
+
+def tokens(texts: list[str], width: int = 3, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """All texts' distinct sequences of ``width`` <= 3 characters as exact 63-bit numbers, and the row of each, rows in order."""
     size = np.array([len(t) for t in texts], np.int64)
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
@@ -49,6 +70,8 @@ def tokens(texts: list[str], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     value = np.zeros(len(at), _U)
     for k in range(width):
         value = (value << _U(21)) | code[at + k]
+    if not distinct:
+        return row, value
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     first = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])) if len(row) else np.zeros(0, bool)
@@ -110,21 +133,21 @@ def _allocate(one: np.ndarray, two: np.ndarray, need: np.ndarray) -> np.ndarray:
     return taken[:, :m].astype(np.int8) + taken[:, m:]
 
 
-def _signature(row: np.ndarray, token: np.ndarray, n: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parities of 112 token classes; two sets differ in at least as many tokens as parities. Low 14 bits: the size."""
-    place = (_mix(token, 0x77) % _U(112)).astype(np.int64)
-    odd = (np.bincount(row * 112 + place, minlength=n * 112) & 1).reshape(n, 112).astype(np.uint64)
-    high = (odd[:, :64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    low = (odd[:, 64:] << np.arange(16, 64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return high, low | np.minimum(size, LONG).astype(np.uint64)
+def _signature(row: np.ndarray, token: np.ndarray, n: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parities of 176 token classes; two sets differ in at least as many tokens as parities. Low 14 bits of the last: the size."""
+    place = (_mix(token, 0x77) % _U(176)).astype(np.int64)
+    odd = (np.bincount(row * 176 + place, minlength=n * 176) & 1).reshape(n, 176).astype(np.uint64)
+    one, two = ((odd[:, a : a + 64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64) for a in (0, 64))
+    low = (odd[:, 128:] << np.arange(16, 64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    return one, two, low | np.minimum(size, LONG).astype(np.uint64)
 
 
 def _keys(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray):
-    """Index and probe rows ``(key, who, s1, s2)`` of a batch; ``who`` is -id - 1 for a probe and id for an index row."""
+    """Index and probe rows ``(key, who, s1, s2, s3)`` of a batch; ``who`` is -id - 1 for a probe and id for an index row."""
     row, token = tokens(texts)
     n = len(texts)
     size = np.bincount(row, minlength=n)
-    s1, s2 = _signature(row, token, n, size)
+    sig = np.stack(_signature(row, token, n, size))
     lows = bands(least)
     own = np.searchsorted(lows, size, "right") - 1
     for band in np.unique(own[size > 0]):
@@ -142,69 +165,74 @@ def _keys(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray):
             whole, one, two, cell, less = _segment_keys(number[row[mine]], token[mine], len(pick), m, int(b), freq)
             of = np.repeat(pick, m)
             by = pick[cell // m]
-            yield whole, ids[of], s1[of], s2[of]
-            yield less, ids[by], s1[by], s2[by]
+            yield whole, ids[of], *sig[:, of]
+            yield less, ids[by], *sig[:, by]
             if b == band:
                 units = _allocate(one.reshape(-1, m), two.reshape(-1, m), differing(size[pick], size[pick], least) + 1).ravel()
                 paid = units >= 1
-                yield whole[paid], -ids[of[paid]] - 1, s1[of[paid]], s2[of[paid]]
+                yield whole[paid], -ids[of[paid]] - 1, *sig[:, of[paid]]
                 double = units[cell] == 2
-                yield less[double], -ids[by[double]] - 1, s1[by[double]], s2[by[double]]
+                yield less[double], -ids[by[double]] - 1, *sig[:, by[double]]
 
 
-def _meet(batches, least: float):
-    """Pairs that share a key and whose signatures allow the similarity; rows come by key, probes before index rows."""
-    held_key, held = None, []
+def _grouped(batches, columns: list[str]):
+    """Batches of rows that come by key, each led by the rows of its first key that came before; and the number of those."""
+    held = None
     for batch in batches:
-        key = np.asarray(batch.column("key"))
-        who = np.asarray(batch.column("who"))
-        s1, s2 = (np.asarray(batch.column(c)).view(np.uint64) for c in ("s1", "s2"))
-        edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        probe = who < 0
-        found_a, found_b = [], []
-        carried = held_key is not None and len(key) and key[0] == held_key
-        if not carried:
-            held = []
-        # groups within the batch, all at once: each index row against the probes of its key
-        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        probes = np.bincount(group[probe], minlength=len(edges) - 1)
-        index = np.flatnonzero(~probe & (probes[group] > 0))
-        for a in range(0, len(index), 1 << 14):
-            part = index[a : a + (1 << 14)]
-            times = probes[group[part]]
-            y = np.repeat(part, times)
-            x = edges[group[y]] + np.arange(len(y)) - np.repeat(np.cumsum(times) - times, times)
-            ok = _possible(s1[x], s2[x], s1[y], s2[y], least) & (-who[x] - 1 != who[y])
-            found_a.append(-who[x[ok]] - 1)
-            found_b.append(who[y[ok]])
-        if carried:
-            last = edges[1]
-            rows = np.flatnonzero(~probe[:last])
-            for hw, h1, h2 in held:
-                for a in range(0, len(rows), max(1, (1 << 20) // len(hw))):
-                    y = np.repeat(rows[a : a + max(1, (1 << 20) // len(hw))], len(hw))
-                    x = np.tile(np.arange(len(hw)), len(y) // len(hw))
-                    ok = _possible(h1[x], h2[x], s1[y], s2[y], least) & (-hw[x] - 1 != who[y])
-                    found_a.append(-hw[x[ok]] - 1)
-                    found_b.append(who[y[ok]])
-        if len(key):
-            if not (carried and len(edges) == 2):
-                held = []
-            tail = np.arange(edges[-2], len(key))
-            tail = tail[probe[tail]]
-            if len(tail):
-                held.append((who[tail].copy(), s1[tail].copy(), s2[tail].copy()))
-            held_key = key[-1]
-        if found_a:
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-
-def _possible(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, least: float) -> np.ndarray:
-    sizes = (x2 & _U(LONG)).astype(np.int32), (y2 & _U(LONG)).astype(np.int32)
-    differ = np.bitwise_count(x1 ^ y1).astype(np.int32) + np.bitwise_count((x2 ^ y2) >> _U(16))
-    return (differ <= (1 - least) / (1 + least) * (sizes[0] + sizes[1]) + 1e-9) | (sizes[0] == LONG) | (sizes[1] == LONG)
+        now = [np.asarray(batch.column(c)) for c in columns]
+        if not len(now[0]):
+            continue
+        old = 0
+        if held is not None and held[0][0] == now[0][0]:
+            old = len(held[0])
+            now = [np.concatenate(p) for p in zip(held, now)]
+        yield old, now
+        start = np.flatnonzero(np.append(True, now[0][1:] != now[0][:-1]))[-1]
+        held = [c[start:].copy() for c in now]
+
+
+def _pair_up(batches, least: float, partition: bool = False):
+    """Pairs of sets with a common key whose roles, sizes and signatures allow the similarity; rows come by key.
+
+    Prefixes: within a key, larger sets come first and probe the index rows (``role`` 1) after them.
+    ``partition``: ``who`` is -id - 1 for a probe and id for an index row, in any order.
+    """
+    for old, (key, who, role, *sig) in _grouped(batches, ["key", "who", "role", "s1", "s2", "s3"]):
+        sig = [c.view(np.uint64) for c in sig]
+        bound = (1 - least) / (1 + least) * (sig[2] & _U(LONG)).astype(np.float32) + np.float32(1e-4)
+        first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
+        before = np.arange(len(key)) - first  # rows of the same key that came before
+        new = np.arange(old, len(key))
+        if partition:
+            who, role = np.where(who < 0, -who - 1, who), (who >= 0).astype(role.dtype)
+        else:
+            new = new[role[new] > 0]
+        cuts = np.searchsorted(np.cumsum(before[new]), np.arange(0, before[new].sum() + 1, 1 << 17))
+        found = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(new))):
+            later = new[a:b]
+            times = before[later]
+            x = np.arange(times.sum()) + np.repeat(first[later] - (np.cumsum(times) - times), times)
+            y = np.repeat(later, times)
+            if partition:
+                ok = role[x] != role[y]
+                x, y = x[ok], y[ok]
+            near = np.flatnonzero(_possible([c[x] for c in sig], [c[y] for c in sig], bound[x] + bound[y]))
+            p, q = who[x[near]], who[y[near]]
+            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q])
+        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+
+def _possible(x: list[np.ndarray], y: list[np.ndarray], bound: np.ndarray) -> np.ndarray:
+    """Whether no more parities differ than tokens may; sets too long for their size to be told apart always pass."""
+    differ = np.bitwise_count(x[0] ^ y[0])
+    differ += np.bitwise_count(x[1] ^ y[1])  # 176 parities at most: no overflow
+    differ += np.bitwise_count((x[2] ^ y[2]) >> _U(16))
+    fits = differ <= bound
+    if bound.max(initial=0) >= LONG / 4:
+        fits |= ((x[2] & _U(LONG)) == LONG) | ((y[2] & _U(LONG)) == LONG)
+    return fits
 
 
 def _similar(left: pa.Array, right: pa.Array, least: float) -> pa.Array:
@@ -221,16 +249,16 @@ def _similar(left: pa.Array, right: pa.Array, least: float) -> pa.Array:
     return pa.array(np.divide(common, either, out=np.zeros(n), where=either > 0) >= least)
 
 
-def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray):
-    """Rows ``(key, who, s1, s2)`` for the rarest tokens of each set, rarest by the sketch, ties by the token.
+def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows ``(part, who, s1, s2, s3, keys)``: the rarest tokens of each set, packed by the part that they go to.
 
-    Of two similar sets, the larger one's first n - ceil(t n) + 1 tokens and the smaller one's first
-    n - ceil(2 t n / (1 + t)) + 1 have one in common; two bits of ``s2`` tell which of the two a row serves.
+    Rarest by the sketch, ties by the token. Of two similar sets, the larger one's first n - ceil(t n) + 1 tokens and
+    the smaller one's first n - ceil(2 t n / (1 + t)) + 1 have one in common; bit 0 of a key tells the latter.
     """
     row, token = tokens(texts)
     n = len(texts)
     size = np.bincount(row, minlength=n)
-    s1, s2 = _signature(row, token, n, size)
+    sig = np.stack(_signature(row, token, n, size))
     df = freq[(_mix(token, 0x51ED) & _U(CELLS - 1)).astype(np.int64)]
     order = np.lexsort((token, df, row))
     row, token, df = row[order], token[order], df[order]
@@ -238,64 +266,46 @@ def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarr
     probe = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
     index = size - np.ceil(2 * least / (1 + least) * size - 1e-9).astype(np.int64) + 1
     keep = rank < probe[row]
-    row, token, df, rank = row[keep], token[keep], df[keep], rank[keep]
-    indexed = rank < index[row]
-    flags = np.where(indexed, _PROBE | _INDEX, _PROBE).astype(_U)
-    hot = df > HOT
-    yield _mix(token[~hot], 0x3C) & _U(0xFFFFFFFF), ids[row[~hot]], s1[row[~hot]], s2[row[~hot]] | flags[~hot]
-    for k in np.flatnonzero(hot):  # each pair of blocks of a hot key has a key of its own
-        blocks = int(df[k] // HOT) + 1
-        mine = int(_mix(np.array([ids[row[k]]], np.int64).view(_U), 0x9)[0] % _U(blocks))
-        for other in range(blocks):
-            key = _mix(np.array([token[k]]) ^ _mix(np.array([min(mine, other) * blocks + max(mine, other)], _U), 0x5), 0x3C) & _U(0xFFFFFFFF)
-            yield key, ids[row[k : k + 1]], s1[row[k : k + 1]], s2[row[k : k + 1]] | flags[k : k + 1]
-
-
-def _pair_up(batches, least: float):
-    """Pairs of sets with a common key whose sizes, roles and signatures allow the similarity; rows come by key."""
-    held = None
-    for batch in batches:
-        key, who = np.asarray(batch.column("key")), np.asarray(batch.column("who"))
-        s1, s2 = (np.asarray(batch.column(c)).view(np.uint64) for c in ("s1", "s2"))
-        if not len(key):
-            continue
-        old = 0
-        if held is not None and held[0][0] == key[0]:
-            old = len(held[0])
-            key, who, s1, s2 = (np.concatenate(p) for p in zip(held, (key, who, s1, s2)))
-        first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
-        before = np.arange(len(key)) - first  # rows of the same key that came before
-        new = np.arange(old, len(key))
-        cuts = np.searchsorted(np.cumsum(before[new]), np.arange(0, before[new].sum() + 1, 1 << 18))
-        found = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(new))):
-            part = new[a:b]
-            times = before[part]
-            y = np.repeat(part, times)
-            x = first[y] + np.arange(len(y)) - np.repeat(np.cumsum(times) - times, times)
-            ok = _possible(s1[x], s2[x], s1[y], s2[y], least)
-            x, y = x[ok], y[ok]
-            nx, ny = s2[x] & _U(LONG), s2[y] & _U(LONG)
-            roles = ((s2[y] & _U(_INDEX)) > 0) & (nx >= ny) | ((s2[x] & _U(_INDEX)) > 0) & (ny >= nx)
-            fits = np.minimum(nx, ny) >= least * np.maximum(nx, ny) - 1e-9
-            ok = roles & (fits | (np.maximum(nx, ny) == LONG)) & (who[x] != who[y])
-            found.append(np.stack([np.minimum(who[x[ok]], who[y[ok]]), np.maximum(who[x[ok]], who[y[ok]])], 1))
-        start = first[-1]
-        held = tuple(c[start:].copy() for c in (key, who, s1, s2))
-        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+    row, token, df, role = row[keep], token[keep], df[keep], (rank < index[row])[keep]
+    hot = np.flatnonzero(df > HOT)
+    if len(hot):  # a hot token is split into blocks of sets; each pair of blocks has a key of its own
+        blocks = (df[hot] // HOT).astype(np.int64) + 1
+        own = np.repeat((_mix(ids[row[hot]].view(_U), 0x9) % blocks.astype(_U)).astype(np.int64), blocks)
+        other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        pair = (np.minimum(own, other) << 32) + np.maximum(own, other)
+        split = np.repeat(token[hot], blocks) ^ _mix(pair.view(_U), 0x5)
+        more = [np.repeat(c[hot], blocks) for c in (row, role)]
+        row, role, token = (np.concatenate([np.delete(c, hot), d]) for c, d in ((row, more[0]), (role, more[1]), (token, split)))
+    mixed = _mix(token, 0x3C)
+    part = ((mixed >> _U(32)) % _U(parts)).astype(np.int64)
+    key = ((mixed & _U(0x3FFFFFFF)) << _U(1) | role.astype(_U)).astype(np.int32)
+    order = np.lexsort((part, row))
+    row, part, key = row[order], part[order], key[order]
+    head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1]))) if len(row) else np.zeros(0, np.int64)
+    keys = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(key))
+    of = row[head]
+    return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), pa.array(ids[of]), *(pa.array(c[of].view(np.int64)) for c in sig), keys], ["part", "who", "s1", "s2", "s3", "keys"])
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """The one-column table ``ids``, to be broadcast if it is small."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
 
 
 def text_classes(records: DataFrame, rec: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Tables ``(rec, rep)`` of all records with a token and ``(rep, plain)`` of their distinct texts; ``rep`` is the first record of a text."""
-    base = records.select(F.col(rec).alias("rec"), F.arrow_udf(lambda t: pa.array([plain(x) for x in t.to_pylist()], pa.string()), "string")(F.col(text)).alias("plain"))
-    base = written(base.where(F.length("plain") >= 3), "plain")
-    classes = base.groupBy("plain").agg(F.min("rec").alias("rep"), F.count("*").alias("n"))
-    classes = written(classes.select("rep", "plain", "n"), "classes")
-    copies = classes.where("n > 1").select("rep", "plain")
-    member = base.join(copies, "plain").select("rec", "rep")
-    alone = classes.where("n = 1").select(F.col("rep").alias("rec"), "rep")
-    return member.unionByName(alone).distinct(), classes.select("rep", "plain")
+    """Tables ``(rec, rep)`` of all records with a token and ``(rep, plain)`` of their distinct texts; ``rep`` is the first record of a text.
+
+    Texts are told apart by two 64-bit digests of letters and digits; only digests and ids cross the shuffle.
+    """
+    base = records.select(F.col(rec).alias("rec"), F.arrow_udf(lambda t: pa.array(plain_all(t.to_pylist()), pa.string()), "string")(F.col(text)).alias("plain"))
+    base = base.where(F.length("plain") >= 3).select("rec", "plain", F.xxhash64("plain").alias("h"), F.xxhash64(F.lit(1), "plain").alias("g"))
+    base = written(base, "plain")
+    same = base.groupBy("h", "g").agg(F.min("rec").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h", "g", "rep")
+    copies = written(base.select("rec", "h", "g").join(same, ["h", "g"]).select("rec", "rep").distinct(), "copies")
+    others = base.select("rec").join(_few(copies.select("rec")), "rec", "left_anti")
+    members = copies.unionByName(others.select("rec", F.col("rec").alias("rep")))
+    classes = base.join(_few(copies.where("rec <> rep").select("rec")), "rec", "left_anti")
+    return members, classes.select(F.col("rec").alias("rep"), "plain")
 
 
 def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefix") -> DataFrame:
@@ -310,8 +320,7 @@ def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefi
 
     def tally(batches):
         for batch in batches:
-            _, token = tokens(batch.column("plain").to_pylist())
-            count = np.bincount((_mix(token, 0x51ED) & _U(CELLS - 1)).astype(np.int64))
+            count = np.bincount((_mix(windows(batch.column("plain").to_pylist()), 0x51ED) & _U(CELLS - 1)).astype(np.int64))
             cell = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(count[cell].astype(np.int64))], ["cell", "n"])
 
@@ -320,23 +329,36 @@ def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefi
     freq[np.asarray(counts.column("cell"))] = np.asarray(counts.column("n"))
     held = spark.sparkContext.broadcast(freq.astype(np.float32))
 
-    make, meet, order = (_keys, _meet, ["key", "who"]) if method == "partition" else (_prefix_rows, _pair_up, ["key"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def keys(batches):
+    def pieces(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                for key, who, s1, s2 in make(np.asarray(part.column("rep")), part.column("plain").to_pylist(), least, held.value):
-                    for b in range(0, len(key), 1 << 16):
-                        cut = slice(b, b + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(who[cut]), pa.array(s1[cut].view(np.int64)), pa.array(s2[cut].view(np.int64))], ["key", "who", "s1", "s2"])
-
-    rows = classes.mapInArrow(keys, "key bigint, who bigint, s1 bigint, s2 bigint")
-    met = rows.repartition("key").sortWithinPartitions(*order).mapInArrow(lambda b: meet(b, least), "a bigint, b bigint").distinct()
-    texts = classes.select(F.col("rep").alias("a"), F.col("plain").alias("_x"))
-    other = classes.select(F.col("rep").alias("b"), F.col("plain").alias("_y"))
-    checked = met.join(texts, "a").join(other, "b").where(F.arrow_udf(lambda x, y: _similar(x, y, least), "boolean")("_x", "_y"))
-    return checked.select("a", "b")
+                yield np.asarray(part.column("rep")), part.column("plain").to_pylist()
+
+    def partition_rows(batches):
+        for ids, texts in pieces(batches):
+            for columns in _keys(ids, texts, least, held.value):
+                for b in range(0, len(columns[0]), 1 << 16):
+                    key, who, *sig = (c[b : b + (1 << 16)].view(np.int64) for c in columns)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(np.zeros(len(key), np.int32)), *map(pa.array, sig)], ["key", "who", "role", "s1", "s2", "s3"])
+
+    def prefix_rows(batches):
+        for ids, texts in pieces(batches):
+            yield _prefix_rows(ids, texts, least, held.value, parts)
+
+    if method == "partition":
+        rows = classes.mapInArrow(partition_rows, "key bigint, who bigint, role int, s1 bigint, s2 bigint, s3 bigint").repartition("key")
+    else:
+        packed = classes.mapInArrow(prefix_rows, "part int, who bigint, s1 bigint, s2 bigint, s3 bigint, keys array<int>").repartitionById(parts, "part")
+        one = packed.select(F.explode("keys").alias("_k"), "who", "s1", "s2", "s3")
+        rows = one.select(F.shiftright("_k", 1).cast("bigint").alias("key"), "who", F.col("_k").bitwiseAND(1).alias("role"), "s1", "s2", "s3")
+    met = rows.sortWithinPartitions("key", F.col("s3").bitwiseAND(LONG).desc()).mapInArrow(lambda b: _pair_up(b, least, method == "partition"), "a bigint, b bigint").distinct()
+    met = written(met, "met")
+    wanted = classes.join(_few(met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi").distinct()
+    texts, other = wanted.select(F.col("rep").alias("a"), F.col("plain").alias("_x")), wanted.select(F.col("rep").alias("b"), F.col("plain").alias("_y"))
+    return met.join(texts, "a").join(other, "b").where(F.arrow_udf(lambda x, y: _similar(x, y, least), "boolean")("_x", "_y")).select("a", "b")
 
 
 def near_duplicates(records: DataFrame, rec: str, text: str, least: float = 0.6) -> tuple[DataFrame, DataFrame]:

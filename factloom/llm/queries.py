@@ -35,7 +35,7 @@ def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    edges = table(spark, folder, "relationships").select(F.col("edge_id").alias("rec"), "evidence").dropDuplicates(["rec"])
+    edges = table(spark, folder, "relationships").select(F.col("edge_id").alias("rec"), "evidence")
     graph = member_columns(table(spark, folder, "kg_raw_graph"), "rel_props", ["evidence"], ["row_id"]).where("is_json")
     return edges.union(graph.select("row_id", "m_evidence")).where("evidence is not null")
 
