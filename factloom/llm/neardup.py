@@ -63,19 +63,34 @@ def windows(texts: list[str], width: int = 3) -> np.ndarray:
 def tokens(texts: list[str], width: int = 3, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """All texts' distinct sequences of ``width`` <= 3 characters as exact 63-bit numbers, and the row of each, rows in order."""
     size = np.array([len(t) for t in texts], np.int64)
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     count = np.maximum(size - width + 1, 0)
     row = np.repeat(np.arange(len(texts)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(size) - size, count)
-    value = np.zeros(len(at), _U)
-    for k in range(width):
-        value = (value << _U(21)) | code[at + k]
     if not distinct:
+        value = np.zeros(len(at), _U)
+        for k in range(width):
+            value = (value << _U(21)) | code[at + k].astype(_U)
         return row, value
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    first = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])) if len(row) else np.zeros(0, bool)
-    return row[first], value[first]
+    # row and characters, these by their rank among the batch's own, make one number to sort by
+    seen = np.zeros(0x110000, bool)
+    seen[code] = True
+    letters = np.flatnonzero(seen).astype(np.uint64)
+    bits = max(1, int(len(letters) - 1).bit_length())
+    if bits * width + max(1, len(texts)).bit_length() > 63 and len(texts) > 1:
+        half = len(texts) // 2
+        left, right = tokens(texts[:half], width), tokens(texts[half:], width)
+        return np.concatenate([left[0], right[0] + half]), np.concatenate([left[1], right[1]])
+    rank = np.cumsum(seen)[code].astype(_U) - _U(1)
+    number = row.astype(_U)
+    for k in range(width):
+        number = (number << _U(bits)) | rank[at + k]
+    number = np.sort(number)
+    number = number[np.append(True, number[1:] != number[:-1])] if len(number) else number
+    value = np.zeros(len(number), _U)
+    for k in range(width):
+        value = (value << _U(21)) | letters[(number >> _U(bits * (width - 1 - k))) & _U((1 << bits) - 1)]
+    return (number >> _U(bits * width)).astype(np.int64), value
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -175,11 +190,15 @@ def _keys(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray):
                 yield less[double], -ids[by[double]] - 1, *sig[:, by[double]]
 
 
-def _grouped(batches, columns: list[str]):
-    """Batches of rows that come by key, each led by the rows of its first key that came before; and the number of those."""
+def _grouped(batches, columns: list[str], shift: int):
+    """Batches of rows that come by key, each led by the rows of its first key that came before; and the number of those.
+
+    The ``shift`` low bits of the first column only order the rows of a key.
+    """
     held = None
     for batch in batches:
         now = [np.asarray(batch.column(c)) for c in columns]
+        now[0] = now[0] >> shift
         if not len(now[0]):
             continue
         old = 0
@@ -197,7 +216,7 @@ def _pair_up(batches, least: float, partition: bool = False):
     Prefixes: within a key, larger sets come first and probe the index rows (``role`` 1) after them.
     ``partition``: ``who`` is -id - 1 for a probe and id for an index row, in any order.
     """
-    for old, (key, who, role, *sig) in _grouped(batches, ["key", "who", "role", "s1", "s2", "s3"]):
+    for old, (key, who, role, *sig) in _grouped(batches, ["key", "who", "role", "s1", "s2", "s3"], 0 if partition else 14):
         sig = [c.view(np.uint64) for c in sig]
         bound = (1 - least) / (1 + least) * (sig[2] & _U(LONG)).astype(np.float32) + np.float32(1e-4)
         first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
@@ -249,10 +268,20 @@ def _similar(left: pa.Array, right: pa.Array, least: float) -> pa.Array:
     return pa.array(np.divide(common, either, out=np.zeros(n), where=either > 0) >= least)
 
 
+def _rarest_first(row: np.ndarray, df: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Order by row, frequency and token; by one number of all three where that tells them apart."""
+    short = (row.astype(_U) << _U(53)) | (np.minimum(df, (1 << 23) - 1).astype(_U) << _U(30)) | (_mix(token, 0x6D) & _U((1 << 30) - 1))
+    order = np.argsort(short)
+    near = np.flatnonzero(short[order[1:]] == short[order[:-1]]) if len(order) else order
+    if len(near) or (len(row) and (row[-1] >= 1 << 10 or df.max() >= 1 << 23)):
+        return np.lexsort((token, _mix(token, 0x6D) & _U((1 << 30) - 1), df, row))
+    return order
+
+
 def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray, parts: int) -> pa.RecordBatch:
     """Rows ``(part, who, s1, s2, s3, keys)``: the rarest tokens of each set, packed by the part that they go to.
 
-    Rarest by the sketch, ties by the token. Of two similar sets, the larger one's first n - ceil(t n) + 1 tokens and
+    Rarest by the sketch, ties by a digest of the token and the token. Of two similar sets, the larger one's first n - ceil(t n) + 1 tokens and
     the smaller one's first n - ceil(2 t n / (1 + t)) + 1 have one in common; bit 0 of a key tells the latter.
     """
     row, token = tokens(texts)
@@ -260,7 +289,7 @@ def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarr
     size = np.bincount(row, minlength=n)
     sig = np.stack(_signature(row, token, n, size))
     df = freq[(_mix(token, 0x51ED) & _U(CELLS - 1)).astype(np.int64)]
-    order = np.lexsort((token, df, row))
+    order = _rarest_first(row, df, token)
     row, token, df = row[order], token[order], df[order]
     rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
     probe = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
@@ -353,8 +382,9 @@ def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefi
     else:
         packed = classes.mapInArrow(prefix_rows, "part int, who bigint, s1 bigint, s2 bigint, s3 bigint, keys array<int>").repartitionById(parts, "part")
         one = packed.select(F.explode("keys").alias("_k"), "who", "s1", "s2", "s3")
-        rows = one.select(F.shiftright("_k", 1).cast("bigint").alias("key"), "who", F.col("_k").bitwiseAND(1).alias("role"), "s1", "s2", "s3")
-    met = rows.sortWithinPartitions("key", F.col("s3").bitwiseAND(LONG).desc()).mapInArrow(lambda b: _pair_up(b, least, method == "partition"), "a bigint, b bigint").distinct()
+        falling = F.shiftleft(F.shiftright("_k", 1).cast("bigint"), 14) + (F.lit(LONG) - F.col("s3").bitwiseAND(F.lit(LONG).cast("bigint")))  # one number to sort by: key, larger sets first
+        rows = one.select(falling.alias("key"), "who", F.col("_k").bitwiseAND(1).alias("role"), "s1", "s2", "s3")
+    met = rows.sortWithinPartitions("key").mapInArrow(lambda b: _pair_up(b, least, method == "partition"), "a bigint, b bigint").distinct()
     met = written(met, "met")
     wanted = classes.join(_few(met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi").distinct()
     texts, other = wanted.select(F.col("rep").alias("a"), F.col("plain").alias("_x")), wanted.select(F.col("rep").alias("b"), F.col("plain").alias("_y"))
