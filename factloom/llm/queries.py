@@ -31,7 +31,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5)
+    return neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5, exact=True)
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
