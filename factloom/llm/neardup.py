@@ -282,7 +282,8 @@ def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarr
     """Rows ``(part, who, s1, s2, s3, keys)``: the rarest tokens of each set, packed by the part that they go to.
 
     Rarest by the sketch, ties by a digest of the token and the token. Of two similar sets, the larger one's first n - ceil(t n) + 1 tokens and
-    the smaller one's first n - ceil(2 t n / (1 + t)) + 1 have one in common; bit 0 of a key tells the latter.
+    the smaller one's first n - ceil(2 t n / (1 + t)) + 1 have one in common; bit 0 of a key tells the latter. Sets of LONG tokens
+    or more come in any order within a key, so any of them may be the larger one that comes second: all their rows are index rows.
     """
     row, token = tokens(texts)
     n = len(texts)
@@ -295,7 +296,7 @@ def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarr
     probe = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
     index = size - np.ceil(2 * least / (1 + least) * size - 1e-9).astype(np.int64) + 1
     keep = rank < probe[row]
-    row, token, df, role = row[keep], token[keep], df[keep], (rank < index[row])[keep]
+    row, token, df, role = row[keep], token[keep], df[keep], ((rank < index[row]) | (size[row] >= LONG))[keep]
     hot = np.flatnonzero(df > HOT)
     if len(hot):  # a hot token is split into blocks of sets; each pair of blocks has a key of its own
         blocks = (df[hot] // HOT).astype(np.int64) + 1
