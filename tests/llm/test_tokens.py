@@ -80,6 +80,16 @@ def test_mixture(spark):
     assert got["v"]["actual_share"] == 0 and abs(got["s"]["actual_share"] + got["t"]["actual_share"] - 1) < 1e-9
 
 
+def test_plan_through_levels(spark):
+    docs = [(1, "a", 10), (2, "b", 100), (3, "c", 100), (4, "d", 100)]
+    sizes = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    rows = [("a", 0.25, 1, "d1", "en"), ("b", 0.25, 1, "d1", "en"), ("c", 0.25, 1, "d1", "zh"), ("d", 0.25, 1, "d2", "zh")]
+    targets = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, domain string, lang string")
+    budget = lambda **more: {r["source"]: round(r["budget"], 6) for r in plan(sizes, targets, total=100.0, **more).collect()}
+    assert budget(levels=["domain", "lang"]) == {"a": 10, "b": 40, "c": 25, "d": 25}  # to the sibling only
+    assert budget() == {"a": 10, "b": 30, "c": 30, "d": 30}  # one level: to all others
+
+
 def test_mixture_of_nothing(spark):
     p = plan(sizes(spark).limit(0), targets(spark))
     assert {r["reachable"] for r in p.collect()} == {True} and mix(sizes(spark).limit(0), p, "doc_id").count() == 0
