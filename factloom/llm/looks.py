@@ -69,7 +69,10 @@ def dominant(token: str) -> str:
 
 
 def substituted(token: str) -> str | None:
-    """The token with its look-alikes replaced by letters of its dominant script; None if nothing is to replace."""
+    """The token with its look-alikes replaced by Latin letters; None if nothing is to replace or its dominant script is another.
+
+    A Cyrillic or Greek word with a Latin look-alike in it is left as it is.
+    """
     if not _ODD.search(token) or dominant(token) != "latin":
         return None
     out = "".join(LOOK_ALIKE.get(c, c) for c in token)
@@ -131,7 +134,7 @@ def one_form(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(<doc_id>, form, repaired bigint, chars)`` for every row: one consistent form of each text; null stays null.
 
     Widths, spaces, marks, unseen signs, hyphens and line ends are folded in every text. Look-alike letters are
-    substituted by token: its dominant script is found, and the letters of other scripts give way if the result is
+    substituted by token: its dominant script is found, and if that is Latin, the letters of other scripts give way if the result is
     in the corpus' vocabulary, that is, if some document writes the result itself or another disguise of it. So
     texts that look the same get the same form even where none of them is clean. Case, traditional and simplified
     characters and the number of spaces are kept. ``chars`` is a digest of the text as it stands. Texts are read
