@@ -52,8 +52,9 @@ def plan(sizes: DataFrame, targets: DataFrame, source: str = "source", size: str
     ``targets`` is the table of the mixture's sources (``source``, ``target_share``, ``max_repeats``, and the
     columns named in ``levels`` for domain, language, ...); it is configuration, and the only thing collected.
     ``total`` is the mixture's size in tokens, by default that of all documents of these sources, each once. A
-    source is reachable if its tokens times ``max_repeats`` are not below its share of all those tokens. Null
-    and unknown sources are outside the mixture; a source without documents has no tokens.
+    source is reachable if, of all those tokens, its budget does not end at its capacity (tokens times
+    ``max_repeats``) before its share is met. Null and unknown sources are outside the mixture; a source without
+    documents has no tokens.
     """
     held = sizes.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("bigint").alias("tokens"))
     wanted = targets.where("source is not null").dropDuplicates(["source"])
@@ -61,8 +62,9 @@ def plan(sizes: DataFrame, targets: DataFrame, source: str = "source", size: str
     everything = sum(r["tokens"] for r in rows)
     goal = float(everything if total is None else total)
     leaves = [{"name": r["source"], "path": (*(r[c] for c in levels or []), r["source"]), "weight": r["target_share"] or 0.0, "capacity": r["tokens"] * (r["max_repeats"] or 0)} for r in rows]
-    got = budgets(leaves, goal)
-    out = [(r["source"], r["target_share"], r["max_repeats"], r["tokens"], x["capacity"], (r["target_share"] or 0.0) * goal, not x["capacity"] < (r["target_share"] or 0.0) * everything, float(got.get(r["source"], 0.0))) for r, x in zip(rows, leaves)]
+    got, due = budgets(leaves, goal), budgets(leaves, float(everything))
+    short = {x["name"] for x in leaves if due.get(x["name"], 0.0) >= x["capacity"] and x["capacity"] < x["weight"] * everything}
+    out = [(r["source"], r["target_share"], r["max_repeats"], r["tokens"], x["capacity"], (r["target_share"] or 0.0) * goal, r["source"] not in short, float(got.get(r["source"], 0.0))) for r, x in zip(rows, leaves)]
     return sizes.sparkSession.createDataFrame(out, "source string, target_share double, max_repeats int, tokens bigint, capacity bigint, wanted double, reachable boolean, budget double")
 
 

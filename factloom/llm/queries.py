@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.json_arrow import member_columns
 from factloom.llm import looks, mixing, names, neardup, neighbours, split, tokens
 from factloom.llm.sql import SQL  # noqa: F401
+from factloom.session import written
 from factloom.tables import table
 
 TOKENIZER = "byte_bpe_50k"
@@ -71,7 +72,7 @@ def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "mix_targets").select("source").distinct()
     docs = table(spark, folder, "documents").join(F.broadcast(targets), "source", "left_semi")
-    return tokens.count_tokens(docs, ["doc_id", "source"], "text", TOKENIZER)
+    return written(tokens.count_tokens(docs, ["doc_id", "source"], "text", TOKENIZER), "sizes")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import tokens
 from factloom.llm.mixing import budgets, mix, plan, shares
@@ -27,11 +28,16 @@ def test_ids_equal_the_library(spark):
     assert tokens.encode_corpus(docs(spark).limit(0), "doc_id", "text", NAME).count() == 0
 
 
-def test_small_packs(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "PACK", 3)
-    short = docs(spark).where("length(text) < 100")
-    got = {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(short, "doc_id", "text", NAME).collect()}
-    assert got == {i: expected(TEXTS[i]) for i in got} and len(got) == 7
+def test_small_bundles_encode_each_word_once(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BUNDLE", 3)
+    monkeypatch.setattr(tokens, "STEP", 4)
+    short = docs(spark).where("length(text) < 100").unionByName(docs(spark).where("doc_id < 6")).repartition(3)
+    got = [(r["doc_id"], r["ids"]) for r in tokens.encode_corpus(short, "doc_id", "text", NAME).collect()]
+    assert len(got) == 13 and all(ids == expected(TEXTS[i]) for i, ids in got)
+    bundles, parts = tokens.word_lists(short, ["doc_id"], "text")
+    assert bundles.where("part < 0").count() > 3
+    once = tokens.encoded_lists(bundles, parts, NAME).agg({"fresh": "sum"}).head()[0]
+    assert once == short.select(F.explode(tokens.words(F.col("text")))).distinct().count()
 
 
 def test_round_trip_and_counts(spark):
