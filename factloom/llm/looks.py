@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,22 @@ from pyspark.sql import types as T
 from factloom.functions.json_arrow import slices
 from factloom.session import written
 
-# Letters of other scripts that look like a Latin one.
-_CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜасеһіјорԛѕѵԝхуԁӏԍҮ", "ABESIJKMHOPCTYXYGQWacehijopqsvwxydlgY"))
-_GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳνϹϨ", "ABEZHIKMNOPTYXocjvCS"))
-LOOK_ALIKE = {**_CYRILLIC, **{k: v for k, v in _GREEK.items() if k != "Ϩ"}}
+# Letters that look like a Latin one, by script, and the Latin letters in the same order.
+LOOKS = {
+    "cyrillic": ("АВЕЅІЈКМНОРСТУХҮԌԚԜасеһіјорԛѕѵԝхуԁӏԍ", "ABESIJKMHOPCTYXYGQWacehijopqsvwxydlg"),
+    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹαγιορυνϲϳ", "ABEZHIKMNOPTYXCayiopuvcj"),
+    "armenian": ("ՍՏՕԼԶասոհզցյօ", "USOLQwunhqgjo"),
+    "cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZ4SVLCPKB"),
+    "lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "styled": ("ıɡɑ", "iga"),
+}
+# Where the letters of a script lie.
+BLOCKS = {"cyrillic": "\u0400-\u052f", "greek": "\u0370-\u03ff", "armenian": "\u0530-\u058f", "cherokee": "\u13a0-\u13ff", "lisu": "\ua4d0-\ua4ff", "styled": "\u0131\u0251\u0261\u2100-\u214f\u2160-\u2188\U0001d400-\U0001d7ff"}
+_LOOK = {a: (script, b) for script, (own, latin) in LOOKS.items() for a, b in zip(own, latin)}
+for _c in (*range(0x2100, 0x2150), *range(0x2160, 0x2189), *range(0x1D400, 0x1D800)):  # letters in another style: what their compatibility form is
+    if len(_n := unicodedata.normalize("NFKC", chr(_c))) == 1 and _n.isascii() and _n.isalpha():
+        _LOOK[chr(_c)] = "styled", _n
+_BACK = {script: {b: a for a, b in reversed(list(zip(own, latin)))} for script, (own, latin) in LOOKS.items() if script != "styled"}
 # Signs without any look, all single spaces, and hyphens.
 _UNSEEN = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 _SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -26,17 +39,20 @@ _JOINER, _VARIATION = "\u200d", "\ufe0e\ufe0f"
 _PICTURES = "\U0001f000-\U0001faff\u2190-\u27bf"
 
 _FOLD: dict[int, str | None] = {ord(c): None for c in _UNSEEN} | {ord(c): " " for c in _SPACES} | {ord(c): "-" for c in _HYPHENS}
+for _a, _b in ((0x180B, 0x1810), (0x206A, 0x2070), (0xFE00, 0xFE0E), (0xFFF9, 0xFFFC), (0xE0001, 0xE0080), (0xE0100, 0xE01F0)):  # selectors, tags and marks without a look
+    _FOLD.update(dict.fromkeys(range(_a, _b)))
 for _a, _b in ((0xFF01, 0xFFEF), (0x2F00, 0x2FD6), (0xF900, 0xFB07), (0x2F800, 0x2FA1E)):  # widths, radicals, compatibility ideographs, ligatures
     for _c in range(_a, _b):
         if (_n := unicodedata.normalize("NFKC", chr(_c))) != chr(_c):
             _FOLD[_c] = _n
 _FOLD[0x2126], _FOLD[0x212A], _FOLD[0x212B] = "Ω", "K", "Å"
 
-_ODD = re.compile(f"[{re.escape(''.join(LOOK_ALIKE))}]")
 _JOINED = re.compile(f"(?<![{_PICTURES}{_VARIATION}]){_JOINER}|{_JOINER}(?![{_PICTURES}])|(?<![{_PICTURES}0-9#*])[{_VARIATION}]")
-#: Tokens of Latin, Greek and Cyrillic letters with their marks.
-TOKEN = "[A-Za-z\u00c0-\u024f\u0370-\u03ff\u0400-\u052f\u1e00-\u1eff\u0300-\u036f]+"
+#: Tokens of letters of the scripts that have look-alikes, with their marks.
+TOKEN = "[A-Za-z\u00c0-\u024f\u1e00-\u1eff\u0300-\u036f" + "".join(BLOCKS.values()) + "]+"
 _TOKEN = re.compile(TOKEN)
+_ODD = re.compile("[" + "".join(BLOCKS.values()) + "]")
+_SCRIPT = [(script, re.compile(f"[{block}]")) for script, block in BLOCKS.items()]
 _LINE_END = re.compile("\r\n?|\u2028|\u2029|\u0085")
 
 
@@ -51,32 +67,54 @@ def fold(text: str) -> str:
 
 
 def script(letter: str) -> str:
-    """latin, greek, cyrillic or other."""
-    c = ord(letter)
-    return "greek" if 0x370 <= c <= 0x3FF else "cyrillic" if 0x400 <= c <= 0x52F else "latin" if letter.isalpha() else "other"
-
-
-def dominant(token: str) -> str:
-    """The script of most letters; Latin on a tie or when every foreign letter looks like a Latin one."""
-    count: dict[str, int] = {}
-    for letter in token:
-        if letter.isalpha():
-            count[script(letter)] = count.get(script(letter), 0) + 1
-    foreign = [c for c in token if script(c) in ("greek", "cyrillic")]
-    if all(c in LOOK_ALIKE for c in foreign):
+    """The script of a letter; latin for all without look-alikes in another."""
+    if letter.isascii():
         return "latin"
-    return max(sorted(count), key=lambda k: (count[k], k == "latin")) if count else "latin"
+    return next((name for name, own in _SCRIPT if own.match(letter)), "latin")
 
 
-def substituted(token: str) -> str | None:
-    """The token with its look-alikes replaced by Latin letters; None if nothing is to replace or its dominant script is another.
+def evidence(letters: str) -> Counter:
+    """Per script, the letters of a text or token that none of its other scripts, nor Latin, has a look-alike of."""
+    count = Counter(c for c in unicodedata.normalize("NFD", letters) if c.isalpha() or c in _LOOK)
+    kinds = {script(c) for c in count} | {"latin"}
+    out: Counter = Counter()
+    for c, n in count.items():
+        own, latin = _LOOK.get(c, (script(c), c if c.isascii() else None))
+        if not any(latin is not None if k == "latin" else latin in _BACK.get(k, ()) for k in kinds - {own}):
+            out[own] += n
+    return out
 
-    A Cyrillic or Greek word with a Latin look-alike in it is left as it is.
+
+def dominant(token: str, said: Counter) -> str | None:
+    """The script that a token is written in; None if that is the one all its letters are of.
+
+    In a mixed token it is the script of most letters that the others have no look-alike of, then that of the text by
+    the same measure (``said``, its ``evidence``), then Latin, then that of most letters. A token wholly of look-alikes
+    is read in the text's script if nothing else in the text speaks for its own: else it is a word of that script.
     """
-    if not _ODD.search(token) or dominant(token) != "latin":
+    letters = [c for c in token if c.isalpha() or c in _LOOK]
+    count = Counter(map(script, letters))
+    if len(count) < 2:
+        own, around = next(iter(count), "latin"), max(said, key=lambda k: (said[k], k == "latin"), default="latin")
+        return around if own not in (around, "latin") and not said[own] and all(c in _LOOK for c in letters) else None
+    sure = evidence(token)
+    return max((k for k in count if k != "styled"), key=lambda k: (sure[k], said[k], k == "latin", count[k]))
+
+
+def substituted(token: str, said: Counter = Counter()) -> str | None:
+    """The token with its look-alikes replaced by letters of its dominant script; None if there is nothing to replace."""
+    if not _ODD.search(token):
         return None
-    out = "".join(LOOK_ALIKE.get(c, c) for c in token)
-    return unicodedata.normalize("NFC", out) if out != token else None
+    apart = unicodedata.normalize("NFD", token)
+    target = dominant(apart, said)
+    if target is None:
+        return None
+    out = []
+    for c in apart:
+        own, latin = _LOOK.get(c, ("latin", c))
+        out.append(c if own == target else latin if target == "latin" else _BACK[target].get(latin, c) if c.isalpha() else c)
+    made = unicodedata.normalize("NFC", "".join(out))
+    return made if made != token else None
 
 
 _TABLE = np.arange(0x110000, dtype=np.uint32)
@@ -110,23 +148,26 @@ def fold_all(texts: list[str | None]) -> list[str | None]:
 
 
 def _read(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Folded texts, their tokens with look-alikes (and what they would become), and their plain Latin tokens."""
+    """Folded texts, their tokens with look-alikes (and what they would become), and their other tokens."""
     flat = fold_all(rows.column("_text").to_pylist())
     odd, plain = [], []
     for t in flat:
-        tokens = set(_TOKEN.findall(t)) if t else set()
-        found = {w: s for w in tokens if (s := substituted(w)) is not None}
+        tokens, found = set(_TOKEN.findall(t)) if t else set(), {}
+        if t and _ODD.search(t):
+            said = evidence("".join(_TOKEN.findall(t)))
+            found = {w: s for w in tokens if (s := substituted(w, said)) is not None}
         odd.append([{"token": w, "result": s} for w, s in found.items()])
-        plain.append([w for w in tokens if w not in found and not _ODD.search(w)])
+        plain.append([w for w in tokens if w not in found])
     pairs = pa.list_(pa.struct([("token", pa.string()), ("result", pa.string())]))
     return pa.RecordBatch.from_arrays([rows.column("_doc"), pa.array(flat, pa.string()), pa.array(odd, pairs), pa.array(plain, pa.list_(pa.string())), rows.column("_chars")], ["_doc", "_flat", "_odd", "_plain", "_chars"])
 
 
 def _repair(texts: pa.Array, words: pa.Array) -> pa.Array:
+    """Texts with each known token replaced by its result."""
     out = []
     for t, w in zip(texts.to_pylist(), words.to_pylist()):
-        known = set(w or ())
-        out.append(_TOKEN.sub(lambda m: s if m[0] in known and (s := substituted(m[0])) is not None else m[0], t) if known and t else t)
+        known = {x["token"]: x["result"] for x in w or ()}
+        out.append(_TOKEN.sub(lambda m: known.get(m[0], m[0]), t) if known and t else t)
     return pa.array(out, pa.string())
 
 
@@ -134,9 +175,10 @@ def one_form(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(<doc_id>, form, repaired bigint, chars)`` for every row: one consistent form of each text; null stays null.
 
     Widths, spaces, marks, unseen signs, hyphens and line ends are folded in every text. Look-alike letters are
-    substituted by token: its dominant script is found, and if that is Latin, the letters of other scripts give way if the result is
-    in the corpus' vocabulary, that is, if some document writes the result itself or another disguise of it. So
-    texts that look the same get the same form even where none of them is clean. Case, traditional and simplified
+    substituted by token: in a token of mixed script (or one wholly of look-alikes in a text that is otherwise of
+    another script) the letters of other scripts than the dominant one give way if the result is in the corpus'
+    vocabulary, that is, if some document writes the result itself or another disguise of it. So texts that look the
+    same get the same form even where none of them is clean. Case, traditional and simplified
     characters and the number of spaces are kept. ``chars`` is a digest of the text as it stands. Texts are read
     and folded once, into a table in the shared folder; only tokens cross the shuffle, distinct within each text.
     Ids must be unique and not null.
@@ -145,12 +187,12 @@ def one_form(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     schema = T.StructType([base.schema["_doc"], T.StructField("_flat", T.StringType()), T.StructField("_odd", T._parse_datatype_string("array<struct<token:string,result:string>>")), T.StructField("_plain", T.ArrayType(T.StringType())), T.StructField("_chars", T.StringType())])
     read = written(base.mapInArrow(lambda batches: (_read(piece) for batch in batches for piece in slices(batch, "_text", 1 << 20)), schema), "looks")
     doubtful = read.where(F.size("_odd") > 0).select("_doc", F.explode("_odd").alias("_c")).select("_doc", "_c.token", "_c.result")
-    spelled = doubtful.select("token", "result").distinct()
+    spelled = written(doubtful.select("token", "result").distinct(), "spelled")
     results = spelled.groupBy("result").agg(F.count("*").alias("_n"))
-    plain = read.select(F.explode("_plain").alias("result")).distinct().join(results.select("result"), "result", "left_semi")
+    plain = read.select(F.explode("_plain").alias("result")).join(results.select("result"), "result", "left_semi").distinct()
     vocabulary = results.where("_n > 1").select("result").union(plain).distinct()
-    repair = spelled.join(vocabulary, "result", "left_semi").select("token")
-    by_doc = doubtful.join(repair, "token", "left_semi").groupBy("_doc").agg(F.collect_set("token").alias("_known"))
+    repair = spelled.join(vocabulary, "result", "left_semi").distinct()
+    by_doc = doubtful.join(repair, ["token", "result"], "left_semi").groupBy("_doc").agg(F.collect_set(F.struct("token", "result")).alias("_known"))
     mended = read.where(F.size("_odd") > 0).select("_doc", "_flat", "_chars").join(by_doc, "_doc", "left")
     mended = mended.select("_doc", F.arrow_udf(_repair, "string")("_flat", "_known").alias("form"), F.coalesce(F.size("_known"), F.lit(0)).cast("bigint").alias("repaired"), "_chars")
     clean = read.where(F.coalesce(F.size("_odd"), F.lit(0)) <= 0).select("_doc", F.col("_flat").alias("form"), F.lit(0).cast("bigint").alias("repaired"), "_chars")
@@ -171,12 +213,16 @@ def visible(form: Column) -> Column:
 def same_look_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc_a, doc_b)``, ``doc_a`` < ``doc_b``: texts of one look whose characters differ.
 
-    Copies of one text are classes; classes of one look are paired first, then widened to their documents. Looks
-    of a single class, whatever their number of copies, drop out before any pairing.
+    Copies of one text are classes. Classes of one look are paired, each pair once, and the pairs widened to their
+    documents, so the work is that of the pairs returned, however many copies a text has. Looks of a single class
+    drop out before any pairing.
     """
-    members = look_groups(docs, doc_id, text).select(doc_id, F.unhex("look").alias("look"), F.unhex("chars").alias("chars"))
+    members = written(look_groups(docs, doc_id, text).select(F.col(doc_id).alias("_doc"), F.unhex("look").alias("look"), F.unhex("chars").alias("chars")), "members")
     classes = members.groupBy("look", "chars").agg(F.count("*").alias("_n"))
     several = classes.groupBy("look").agg(F.count("*").alias("_k")).where("_k > 1").select("look")
-    mixed = members.join(several, "look", "left_semi")
-    a, b = mixed.select("look", F.col("chars").alias("_ca"), F.col(doc_id).alias("doc_a")), mixed.select("look", F.col("chars").alias("_cb"), F.col(doc_id).alias("doc_b"))
-    return a.join(b, "look").where("_ca <> _cb and doc_a < doc_b").select("doc_a", "doc_b")
+    of = written(members.join(several, "look", "left_semi"), "several")
+    one, two = (of.select("look", F.col("chars").alias(c)).distinct() for c in ("_ca", "_cb"))
+    pairs = one.join(two, "look").where("_ca < _cb")
+    wide = pairs.select("_ca", "_cb").join(of.select(F.col("chars").alias("_ca"), F.col("_doc").alias("_x")), "_ca")  # equal text, equal look
+    wide = wide.join(of.select(F.col("chars").alias("_cb"), F.col("_doc").alias("_y")), "_cb")
+    return wide.select(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"))
