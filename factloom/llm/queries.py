@@ -32,7 +32,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5, exact=True)
+    """Every vector is indexed; queries are the rows whose id is divisible by 20. Half of the neighbours are distant ones: hence probes by recall."""
+    return neighbours.nearest(table(spark, folder, "kg_vectors"), "row_id", "embedding", k=5, prefix=2, depth=None, per_pivot=1024, recall=0.93, asked=lambda i: i % 20 == 0)
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
