@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Property names that are not shown, and what joins the others.
 HIDDEN_PROPS = ("id", "doc_id", "name")
 PROP_JOIN = "；"
-# The sentence that shows one fact, and the words used in it.
-LINK, JOINED, BECAUSE, WHEN, STOP = " 透過關係【", " 建立連結，說明：", "】與 ", "；事件時間：", "。"
+# The sentence that shows one fact, with and without its time, and what stands for a part without properties.
+SENTENCE = "{n}. {head} 透過關係【{relation}】與 {tail} 建立連結，說明：{reason}。"
+DATED_SENTENCE = "{n}. {head} 透過關係【{relation}】與 {tail} 建立連結，說明：{reason}；事件時間：{time}。"
 HEAD_ROLE, TAIL_ROLE = "主體", "受體"
+STOP = "。"
 # What stands before the date of a news text and of a question.
 NEWS_DATE, QUESTION_DATE = "新聞日期：", "事件詢問日期："
 
+# Line breaks, a code fence, what opens a numbered line.
 _LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 _FENCE = r"(?i)^\s*```(?:json)?\s*|\s*```\s*$"
 
@@ -50,16 +55,20 @@ def safe_json(text: Column | str) -> Column:
 
 
 def first_json_object(text: Column | str) -> Column:
-    """From the first ``{`` to the ``}`` that balances it (braces inside strings count too); null if none does."""
+    """From the first ``{`` to the ``}`` that balances it (braces inside strings count too); null if none does.
+
+    The depth before each brace is a sum over the braces alone, not over all characters.
+    """
     t = _col(text)
     tail = F.substr(t, F.locate("{", t))
+    stretches = F.regexp_extract_all(tail, F.lit("[^{}]*[{}]"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
-    step = lambda s, c: F.struct(
-        (s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"),
-        (s["n"] + 1).alias("n"),
-        F.when((s["end"] == 0) & (c == "}") & (s["depth"] == 1), s["n"] + 1).otherwise(s["end"]).alias("end"),
+    step = lambda s, p: F.struct(
+        (s["depth"] + F.when(p.endswith("{"), 1).otherwise(-1)).alias("depth"),
+        (s["n"] + F.length(p)).alias("n"),
+        F.when((s["end"] == 0) & p.endswith("}") & (s["depth"] == 1), s["n"] + F.length(p)).otherwise(s["end"]).alias("end"),
     )
-    end = F.aggregate(F.split(tail, ""), start, step)["end"]
+    end = F.aggregate(stretches, start, step)["end"]
     return F.when(F.contains(t, F.lit("{")) & (end > 0), F.substr(tail, F.lit(1), end))
 
 
@@ -109,11 +118,9 @@ def verbalise(head, relation, tail, head_props, rel_props, tail_props, number: i
     reason = F.when(F.map_contains_key(props, F.lit("evidence")), F.coalesce(props["evidence"], F.lit(""))).otherwise(_col(relation))
     said = lambda k: F.when(F.coalesce(props[k], F.lit("")) != "", props[k])
     moment = F.coalesce(said("date"), said("time"))
-    when = F.when(moment.isNotNull(), F.concat(F.lit(WHEN), moment)).otherwise("")
-    return F.concat(
-        F.lit(f"{number}. "), format_entity(head, head_props, HEAD_ROLE), F.lit(LINK), _col(relation), F.lit(BECAUSE),
-        format_entity(tail, tail_props, TAIL_ROLE), F.lit(JOINED), reason, when, F.lit(STOP),
-    )
+    parts = {"n": F.lit(str(number)), "head": format_entity(head, head_props, HEAD_ROLE), "relation": _col(relation), "tail": format_entity(tail, tail_props, TAIL_ROLE), "reason": reason, "time": moment}
+    filled = lambda form: F.concat(*(parts[p[1:-1]] if p[:1] == "{" else F.lit(p) for p in re.split(r"(\{\w+\})", form) if p))
+    return F.when(moment.isNotNull(), filled(DATED_SENTENCE)).otherwise(filled(SENTENCE))
 
 
 def split_lines(text: Column | str) -> Column:
@@ -144,9 +151,9 @@ def renumber_prefix(line: Column | str, i: Column) -> Column:
     return F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.regexp_replace(_col(line), r"(?U)^\s*(?:\[\d+\]\.?|\d+\.)\s*", ""))
 
 
-def triple_text(head, relation, tail) -> Column:
-    """``head relation tail``; a null part counts as empty."""
-    return F.concat_ws(" ", *(F.coalesce(_col(c), F.lit("")) for c in (head, relation, tail)))
+def triple_text(head, relation, tail, *props) -> Column:
+    """``head relation tail`` and, if given, the texts of properties; a null part counts as empty."""
+    return F.concat_ws(" ", *(F.coalesce(_col(c), F.lit("")) for c in (head, relation, tail, *props)))
 
 
 def request_date(text: Column | str) -> Column:

@@ -5,41 +5,89 @@ A bucket holds what a document's retrieval returned for one entity: at most trip
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.text import renumber_bracket, renumber_prefix
-from factloom.functions.vectors import cosine
-
-_STATE = "array<struct<seq:bigint,line:string,vec:array<double>>>"
-
-
-def _lines(df: DataFrame, keys: list[str]) -> DataFrame:
-    item = F.struct(F.col("seq").cast("bigint").alias("seq"), "line", F.col("vec").cast("array<double>").alias("vec"))
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
 
 
-def _out(folded: DataFrame, keys: list[str]) -> DataFrame:
-    return folded.select(*keys, F.inline("_kept"))
+class _Kept:
+    """Unit vectors of the kept lines of one bucket, in order, and the slot of each; what has no direction is like nothing."""
+
+    def __init__(self) -> None:
+        self.n, self.unit, self.slot = 0, None, []
+
+    def first_like(self, unit: np.ndarray, least: float) -> int:
+        like = np.flatnonzero(self.unit[: self.n] @ unit >= least) if self.n else []
+        return min(self.slot[i] for i in like) if len(like) else -1
+
+    def put(self, unit: np.ndarray, slot: int) -> None:
+        if slot in self.slot:  # a longer line takes it over
+            self.unit[self.slot.index(slot)] = unit
+            return
+        if self.unit is None:
+            self.unit = np.zeros((16, len(unit)))
+        if self.n == len(self.unit):
+            self.unit = np.concatenate([self.unit, np.zeros_like(self.unit)])
+        self.unit[self.n] = unit
+        self.slot.append(slot)
+        self.n += 1
+
+
+def _fold(df: DataFrame, keys: list[str], least: float, longest: bool) -> DataFrame:
+    """Buckets one after the other in the order of the shuffle's sort; of a bucket only what is kept is held."""
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("seq", T.LongType()), T.StructField("line", T.StringType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    rows = df.select(*keys, F.col("seq").cast("bigint").alias("seq"), F.col("line").cast("string").alias("line"), F.col("vec").cast("array<double>").alias("vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, kept, slots, count = None, _Kept(), [], 0
+        for batch in batches:
+            who, out = list(zip(*(batch.column(k).to_pylist() for k in keys))), []
+            vectors, lines, seqs = (batch.column(c) for c in ("vec", "line", "seq"))
+            ends, flat, have = np.asarray(vectors.offsets), np.asarray(vectors.values, float), np.asarray(vectors.is_valid())
+            for i in range(batch.num_rows):
+                if who[i] != bucket:
+                    out += [(*bucket, *x) for x in slots] if bucket else []
+                    bucket, kept, slots, count = who[i], _Kept(), [], 0
+                vec = flat[ends[i] : ends[i + 1]] if have[i] else flat[:0]
+                length = np.linalg.norm(vec)
+                at = kept.first_like(vec / length, least) if length > 0 else -1
+                row = [seqs[i].as_py(), lines[i].as_py(), vec.tolist() if have[i] else None] if at < 0 or longest else None
+                if at < 0:
+                    out += [] if longest else [(*bucket, *row)]
+                    at, count = count, count + 1
+                    slots += [row] if longest else []
+                elif longest and len(row[1] or "") > len(slots[at][1] or ""):
+                    slots[at][1:] = row[1:]
+                else:
+                    continue
+                if length > 0:
+                    kept.put(vec / length, at)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), batch.schema)], batch.schema.names)
+            names, kind = batch.schema.names, batch.schema
+        if slots:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((*bucket, *x) for x in slots)), kind)], names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "line").mapInArrow(run, schema)
 
 
 def keep_first(df: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
-    """Of lines ``(<keys>, seq, line, vec)`` those not similar to a kept earlier one of the same keys, in order of ``seq``."""
-    like = lambda x: lambda k: cosine(k["vec"], x["vec"]) >= least
-    fold = F.aggregate("_all", F.array().cast(_STATE), lambda kept, x: F.when(F.exists(kept, like(x)), kept).otherwise(F.concat(kept, F.array(x))))
-    return _out(_lines(df, keys).select(*keys, fold.alias("_kept")), keys)
+    """Of lines ``(<keys>, seq, line, vec)`` those not similar to a kept earlier one of the same keys, in order of ``seq``.
+
+    A line whose vector is null or all zero is always kept and like no other. All vectors must be of one length.
+    """
+    return _fold(df, keys, least, False)
 
 
 def keep_longest(df: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
     """Lines put in slots of the same keys: a line goes to the first slot similar to it, and takes it over if it is longer; else it opens one. ``seq`` is that of the slot's first line."""
-
-    def step(kept: Column, x: Column) -> Column:
-        hit = F.array_position(F.transform(kept, lambda k: F.coalesce(cosine(k["vec"], x["vec"]) >= least, F.lit(False))), True) - 1
-        swap = lambda k, i: F.when((i == hit) & (F.length(x["line"]) > F.length(k["line"])), F.struct(k["seq"].alias("seq"), x["line"].alias("line"), x["vec"].alias("vec"))).otherwise(k)
-        return F.when(hit < 0, F.concat(kept, F.array(x))).otherwise(F.transform(kept, swap))
-
-    fold = F.aggregate("_all", F.array().cast(_STATE), step)
-    return _out(_lines(df, keys).select(*keys, fold.alias("_kept")), keys)
+    return _fold(df, keys, least, True)
 
 
 def renumber(df: DataFrame, doc: str, order: list[str], style: str = "bracket") -> DataFrame:

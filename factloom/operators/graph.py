@@ -52,11 +52,16 @@ def _id_names(read: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def relation_edges(read: DataFrame, keys: list[str]) -> DataFrame:
-    """``relation_ends`` with the names of both ends ('' for an id that the answer doesn't define)."""
+    """``relation_ends`` with the names of both ends ('' for an id that the answer doesn't define) and the attributes as map ``props``.
+
+    Attributes come last: those named source_name, target_name, relation or evidence replace what else is known.
+    """
     ends, names = relation_ends(read, keys), _id_names(read, keys)
     for side in ("source", "target"):
         ends = ends.join(names.select(*keys, F.col("id").alias(side), F.col("name").alias(f"{side}_name")), [*keys, side], "left")
-    return ends.withColumns({f"{s}_name": F.coalesce(f"{s}_name", F.lit("")) for s in ("source", "target")})
+    ends = ends.withColumn("props", json_props("attributes"))
+    known = {**{f"{s}_name": F.coalesce(f"{s}_name", F.lit("")) for s in ("source", "target")}, "relation": F.col("relation"), "evidence": F.col("evidence")}
+    return ends.withColumns({c: F.when(F.map_contains_key("props", F.lit(c)), F.col("props")[c]).otherwise(v) for c, v in known.items()})
 
 
 def resolve_triples(read: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,6 +104,12 @@ def edge_load(existing: DataFrame, new: DataFrame, nodes: DataFrame, seq: str) -
     return first
 
 
+def current_nodes(log: DataFrame) -> DataFrame:
+    """Nodes that are there: of each name in ``log(name, id, type, props, loaded_at, deleted_at)`` the row loaded last, unless it is deleted."""
+    last = log.where("name is not null").groupBy("name").agg(F.max_by(F.struct("id", "type", "props", "deleted_at"), F.struct("loaded_at", "id", "type", F.col("deleted_at").isNull())).alias("_l"))
+    return last.where("_l.deleted_at is null").select("name", "_l.id", "_l.type", "_l.props")
+
+
 def evidence_counts(edges: DataFrame) -> DataFrame:
     """``(source_name, target_name, evidence, n)`` of valid edges."""
     return valid_edges(edges).groupBy("source_name", "target_name", "evidence").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import json_props, split_lines, verbalise
@@ -24,8 +26,11 @@ def hybrid_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: i
     return hits.join(sides, "q_id").join(facts, "r_id").where("_h = _qh or _t = _qt").select("q_id", "r_id", "sim", "rank")
 
 
-def fact_lines(hits: DataFrame, graph: DataFrame) -> DataFrame:
-    """Sentences of found facts: ``(q_id, r_id, rank, line_no, line)``; evidence with line breaks gives several lines."""
+def fact_lines(hits: DataFrame, graph: DataFrame, sentence: Callable[..., Column] = verbalise) -> DataFrame:
+    """Sentences of found facts: ``(q_id, r_id, rank, line_no, line)``; evidence with line breaks gives several lines.
+
+    ``sentence`` makes the text from head, relation, tail and their property maps.
+    """
     facts = graph.select("r_id", "head", "relation", "tail", *(json_props(c).alias(f"_{c}") for c in ("head_props", "rel_props", "tail_props")))
-    text = verbalise("head", "relation", "tail", "_head_props", "_rel_props", "_tail_props")
+    text = sentence("head", "relation", "tail", "_head_props", "_rel_props", "_tail_props")
     return hits.join(facts, "r_id").select("q_id", "r_id", "rank", F.posexplode(split_lines(text)).alias("line_no", "line"))

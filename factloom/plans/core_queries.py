@@ -235,8 +235,7 @@ def edge_dedup_load(s: SparkSession, d: str) -> DataFrame:
 @query
 def graph_export(s: SparkSession, d: str) -> DataFrame:
     edges = table(s, d, "relationships").dropDuplicates(["edge_id"])
-    nodes = table(s, d, "entity").select("name", "id", "type", "props").dropDuplicates(["name"])
-    g = graph.graph_export(edges, nodes)
+    g = graph.graph_export(edges, graph.current_nodes(table(s, d, "entity")))
     return g.select("head", "relation", "tail", F.get_json_object("rel_props", "$.date").alias("date"), F.get_json_object("head_props", "$.type").alias("head_type"), F.get_json_object("tail_props", "$.id").alias("tail_id"))
 
 
@@ -331,14 +330,93 @@ def pipeline_status(s: SparkSession, d: str) -> DataFrame:
     return report.status(table(s, d, "news_in"), found, table(s, d, "relationships"), "doc_id")
 
 
-@query
-def verify_report(s: SparkSession, d: str) -> DataFrame:
+def _checked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, HashingEncoder, DataFrame, DataFrame]:
     kg, _ = _kg(s, d)
     encoder = HashingEncoder()
-    vec = encoder.encode(kg.select("r_id", tx.triple_text("head", "relation", "tail").alias("t")), "t").where("vec is not null").select("r_id", "vec")
     answers = table(s, d, "extraction_result").select("doc_id", "round_no", F.col("payload").alias("raw")).dropDuplicates()
     news = table(s, d, "news_in").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
+    vec = encoder.encode(kg.select("r_id", tx.triple_text("head", "relation", "tail").alias("t")), "t").where("vec is not null").select("r_id", "vec")
+    return news, answers, encoder, kg, vec
+
+
+@query
+def verify_report(s: SparkSession, d: str) -> DataFrame:
+    news, answers, encoder, kg, vec = _checked(s, d)
     return pipelines.verify(news, ReplayAnswers(answers), encoder, kg, vec, k=100, least=0.8)
 
 
+def _asked(s: SparkSession, d: str, answers: DataFrame) -> ReplayAnswers:
+    """Answers of the second round as a list of triples, the others as entities and relations."""
+    keys = ["doc_id", "round_no"]
+    read = graph.read_results(answers.where("round_no = 2").withColumnRenamed("raw", "payload"), keys)
+    one = F.struct("pos", F.col("head").alias("subject"), "relation", F.col("tail").alias("object"))
+    told = graph.resolve_triples(read, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("triples"))
+    told = told.select(*keys, F.to_json(F.struct(F.transform("triples", lambda t: F.struct(t["subject"].alias("subject"), t["relation"].alias("relation"), t["object"].alias("object"))).alias("triples"))).alias("raw"))
+    return ReplayAnswers(answers.where("round_no <> 2").unionByName(told))
+
+
+@query
+def answer_report(s: SparkSession, d: str) -> DataFrame:
+    news, answers, encoder, kg, vec = _checked(s, d)
+    return pipelines.answer(news, _asked(s, d, answers), encoder, kg, vec, k=100, least=0.8)
+
+
+@query
+def asked_triples(s: SparkSession, d: str) -> DataFrame:
+    news, answers, *_ = _checked(s, d)
+    return pipelines.asked_triples(news, _asked(s, d, answers)).select("doc_id", "head", "relation", "tail")
+
+
+@query
+def unreadable_rounds(s: SparkSession, d: str) -> DataFrame:
+    news, answers, *_ = _checked(s, d)
+    return pipelines.read_rounds(news, ReplayAnswers(answers))[1].select("doc_id", "round_no", "raw", "reason")
+
+
+def _built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    answers = table(s, d, "extraction_result").select("doc_id", F.col("extraction_id").alias("seq"), "payload").dropDuplicates()
+    return pipelines.build_graph(answers, graph.current_nodes(table(s, d, "entity")), table(s, d, "relationships"))
+
+
+@query
+def build_graph_nodes(s: SparkSession, d: str) -> DataFrame:
+    return _built(s, d)[0].select("name", "id", "type", F.size("props").cast("bigint").alias("n_props"))
+
+
+@query
+def build_graph_edges(s: SparkSession, d: str) -> DataFrame:
+    return _built(s, d)[1]
+
+
+@query
+def embed_graph(s: SparkSession, d: str) -> DataFrame:
+    kg, _ = _kg(s, d)
+    return pipelines.embed_graph(kg, HashingEncoder(), props=True).select("r_id", F.size("vec").alias("size"))
+
+
+@query
+def token_chunks(s: SparkSession, d: str) -> DataFrame:
+    return vectors.token_chunks(table(s, d, "documents"), "doc_id", "text")
+
+
+def _verdicts(s: SparkSession, d: str) -> tuple[DataFrame, ReplayAnswers]:
+    """Reports of as many knowledge lines as an edge's id modulo 7, and verdicts on them whose points name the edge's ends."""
+    edges = table(s, d, "relationships").select("edge_id", "source_name", "target_name").dropDuplicates(["edge_id"]).where("source_name not rlike '[\\\\n\\\\r]' and target_name not rlike '[\\\\n\\\\r]'")
+    doc, n = F.col("edge_id").cast("string").alias("doc_id"), F.col("edge_id") % 7
+    report_ = F.concat(F.lit("```\n[比對知識]\n"), F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("] x"))), "\n"), F.lit("\n```"))
+    raw = F.concat(F.lit("```\n一、查核明細\n✅ 一致\n1. 甲"), "source_name", F.lit("；`[1]`[2][2]\n\n❌ 矛盾\n2. 乙"), "target_name", F.lit("；`[9]`\n二、總結\n1. 無\n三、評分\n"), (n + 5).cast("string"), F.lit("分\n```"))
+    return edges.select(doc, report_.alias("report")), ReplayAnswers(edges.select(doc, F.lit(1).alias("round_no"), raw.alias("raw")))
+
+
+@query
+def verdict_points(s: SparkSession, d: str) -> DataFrame:
+    points = pipelines.judge(*_verdicts(s, d))[1]
+    return points.select("doc_id", "label", "item_no", "text", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"))
+
+
+@query
+def verdict_scores(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.judge(*_verdicts(s, d))[0].select("doc_id", "score")
+
+
 QUERIES = Q

@@ -24,6 +24,17 @@ def _list(x: str) -> str:
 
 _ENDS = f"ex as (select extraction_id, pos, r, unnest({_list('source')}) source, {_list('target')} t from re), ed as (select extraction_id, pos, r, source, unnest(t) target from ex)"
 _TRIPLES = f"{_REL}, {_NAMES}, tr as (select re.extraction_id, re.doc_id, re.round_no, re.pos, h.name head, r->>'relation' relation, t.name tail from re join nm h on h.extraction_id = re.extraction_id and h.id = r->>'source' join nm t on t.extraction_id = re.extraction_id and t.id = r->>'target' where h.name <> '' and t.name <> '' and r->>'relation' <> '')"
+_ATTR = "case when json_type({0}->'attributes') = 'OBJECT' then ({0}->'attributes')::varchar when json_type({0}->'attributes') = 'VARCHAR' and json_valid({0}->>'attributes') and json_type({0}->>'attributes') = 'OBJECT' then {0}->>'attributes' else '{{}}' end"
+
+
+def _over(key: str, known: str) -> str:
+    return f"case when list_contains(json_keys(atr), '{key}') then atr->>'{key}' else {known} end"
+
+
+_EDGES = f"""le as (select ed.extraction_id, pos, source, target, {_ATTR.format('r')} atr, coalesce(a.name, '') sn, coalesce(r->>'relation', r->>'type', 'RELATED_TO') re, coalesce(b.name, '') tn, coalesce(r->>'evidence', '') ev
+      from ed left join nm a on a.extraction_id = ed.extraction_id and a.id = source left join nm b on b.extraction_id = ed.extraction_id and b.id = target),
+  eg as (select extraction_id, pos, source, target, atr, {_over('source_name', 'sn')} source_name, {_over('relation', 're')} relation, {_over('target_name', 'tn')} target_name, {_over('evidence', 'ev')} evidence from le)"""
+_NODES = "cn as (select name, max_by(struct_pack(i := id, t := type, p := props, d := deleted_at), struct_pack(a := loaded_at, b := id, c := type, d := deleted_at is null)) l from entity where name is not null group by name), nd as (select name, l.i id, l.t \"type\", l.p props from cn where l.d is null)"
 _UNIT = "u as (select row_id, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from kg_vectors where embedding is not null and len(embedding) > 0)"
 
 
@@ -89,8 +100,7 @@ SQL = {
     "entity_nodes": f"""with {_ENT}, a as (select *, case when json_type(e->'attributes') = 'OBJECT' then (e->'attributes')::varchar when json_type(e->'attributes') = 'VARCHAR' and json_valid(e->>'attributes') and json_type(e->>'attributes') = 'OBJECT' then e->>'attributes' else '{{}}' end atr from en)
       select extraction_id, pos::int pos, coalesce(atr->>'id', e->>'id') id, coalesce(atr->>'name', e->>'name') "name", coalesce(atr->>'type', e->>'type', 'Entity') "type", len(list_filter(json_keys(atr), lambda k: k not in ('id', 'name', 'type')))::bigint n_props from a""",
     "relation_expand": f"with {_REL}, {_ENDS} select extraction_id, pos::int pos, source, target from ed",
-    "relation_edges": f"""with {_REL}, {_NAMES}, {_ENDS} select ed.extraction_id, pos::int pos, coalesce(a.name, '') source_name, coalesce(r->>'relation', r->>'type', 'RELATED_TO') relation, coalesce(b.name, '') target_name, coalesce(r->>'evidence', '') evidence
-      from ed left join nm a on a.extraction_id = ed.extraction_id and a.id = source left join nm b on b.extraction_id = ed.extraction_id and b.id = target""",
+    "relation_edges": f"with {_REL}, {_NAMES}, {_ENDS}, {_EDGES} select extraction_id, pos::int pos, source_name, relation, target_name, evidence from eg",
     "valid_edges": "select distinct edge_id, source_name, relation, target_name from relationships where source_name <> '' and target_name <> '' and evidence <> ''",
     "resolve_triples": f"with {_TRIPLES} select extraction_id, pos::int pos, head, relation, tail from tr",
     "normalize_triples": "select distinct edge_id, nullif(source_name, '') head, relation, nullif(target_name, '') tail from relationships where source_name <> '' and target_name <> '' and relation is not null union all select row_id, head, relation, tail from kg_raw_graph where head is not null and relation is not null and tail is not null",
@@ -105,8 +115,34 @@ SQL = {
     "edge_dedup_load": """with n as (select * from relationships where loaded_at >= '2024-07-01' and source_name <> '' and target_name <> '' and evidence <> '' and relation <> ''), o as (select * from relationships where loaded_at < '2024-07-01'),
       f as (select source_name, target_name, evidence, min(edge_id) edge_id from n group by all)
       select edge_id from f where not exists (select 1 from o where o.source_name = f.source_name and o.target_name = f.target_name and o.evidence = f.evidence) and source_name in (select name from entity) and target_name in (select name from entity)""",
-    "graph_export": """with e as (select distinct edge_id, source_name, relation, target_name, "date" from relationships), n as (select distinct name, id, type from entity)
-      select source_name head, relation, target_name tail, "date", a.type head_type, b.id tail_id from e join n a on a.name = source_name join n b on b.name = target_name""",
+    "graph_export": f"""with {_NODES}, e as (select distinct edge_id, source_name, relation, target_name, "date" from relationships)
+      select source_name head, relation, target_name tail, "date", a.type head_type, b.id tail_id from e join nd a on a.name = source_name join nd b on b.name = target_name""",
+    "first_json_object": r"""with p as (select distinct extraction_id, payload, substr(payload, strpos(payload, '{')) t from extraction_result),
+      c as (select extraction_id, payload, t, case when contains(payload, '{') then regexp_extract_all(t, '[^{}]*[{}]') else [] end s from p),
+      g as (select *, list_position(list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: case when x like '%{' then 1 else -1 end)) = 0), true) k from c)
+      select extraction_id, case when k > 0 then substr(t, 1, length(array_to_string(s[1:k], ''))) end payload from g""",
+    "asked_triples": rf"""with {_TRIPLES}, u as (select extraction_id, {_FENCED} f, {_MENDED} m from extraction_result)
+      select distinct doc_id, head, relation, tail from tr where doc_id in (select doc_id from news_in) and (round_no = 2 or extraction_id in (select extraction_id from u where json_valid(f) and not regexp_matches(f, ',\s*[}}\]]') or json_valid(m)))""",
+    "unreadable_rounds": rf"""with u as (select distinct doc_id, round_no, payload raw, {_FENCED} f, {_MENDED} m from extraction_result where doc_id in (select doc_id from news_in))
+      select doc_id, round_no, raw, case when coalesce(trim(raw), '') = '' then 'EMPTY' else 'NOT_JSON' end reason from u where raw is null or not ((json_valid(f) and not regexp_matches(f, ',\s*[}}\]]')) or json_valid(m))""",
+    "build_graph_edges": f"""with {_REL}, {_NAMES}, {_ENDS}, {_EDGES}, {_NODES},
+      w as (select eg.*, coalesce(atr->>'doc_id', p.doc_id) doc_id, atr->>'date' "date", row_number() over (partition by source_name, target_name, evidence order by eg.extraction_id, p.doc_id, pos, source, target) k from eg join (select distinct extraction_id, doc_id from p) p on p.extraction_id = eg.extraction_id where source_name <> '' and target_name <> '' and evidence <> '' and relation <> ''),
+      ea as (select {_over("name", "e->>'name'")} "name" from (select e, {_ATTR.format('e')} atr from en)), kn as (select "name" from ea where "name" is not null union select "name" from nd)
+      select source_name, target_name, relation, evidence, doc_id, "date" from w where k = 1 and source_name in (select "name" from kn) and target_name in (select "name" from kn) and not exists (select 1 from relationships o where o.source_name = w.source_name and o.target_name = w.target_name and o.evidence = w.evidence)""",
+    "build_graph_nodes": f"""with {_ENT}, {_NODES}, ea as (select extraction_id s, doc_id d, pos, e, {_ATTR.format('e')} atr from en),
+      lg as (select 1 t, s, d, pos, atr, {_over("name", "e->>'name'")} "name", {_over("id", "e->>'id'")} id, {_over("type", "coalesce(e->>'type', 'Entity')")} "type" from ea),
+      al as (select 0 t, null::bigint s, null::varchar d, null::bigint pos, null::json atr, "name", id, "type", props from nd union all select t, s, d, pos, atr, "name", id, "type", null from lg where "name" is not null),
+      fi as (select *, row_number() over (partition by "name" order by t, s, d, pos) k from al),
+      kv as (select "name", t, s, d, pos, unnest(map_keys(props)) k, unnest(map_values(props)) v from al where t = 0 union all select "name", t, s, d, pos, k, json_extract_string(atr, '$."' || k || '"') from (select *, unnest(list_filter(json_keys(atr), lambda k: k not in ('id', 'name', 'type'))) k from al where t = 1)),
+      la as (select "name", k, v, row_number() over (partition by "name", k order by t desc, s desc, d desc, pos desc) z from kv)
+      select "name", id, "type", (select count(*) from la where la.name = fi.name and z = 1 and v is not null) n_props from fi where k = 1""",
+    "token_chunks": r"""with t as (select doc_id, "text", regexp_extract_all("text", '[\t-\r\x{85}\p{Z}]*\p{Han}|[\t-\r\x{85}\p{Z}]*[^\t-\r\x{85}\p{Z}\p{Han}]+|[\t-\r\x{85}\p{Z}]+$') t from documents where length("text") > 0),
+      c as (select *, unnest(range(0, greatest(0, ceil((len(t) - 510) / 256.0))::int + 1)) n from t where len(t) > 0)
+      select doc_id, n::int chunk_no, len(t[n * 256 + 1:n * 256 + 510])::int n_tokens, case when len(t) <= 510 then "text" else array_to_string(t[n * 256 + 1:n * 256 + 510], '') end chunk from c""",
+    "verdict_points": r"""with e as (select distinct edge_id, source_name a, target_name b from relationships where not regexp_matches(source_name, '[\n\r]') and not regexp_matches(target_name, '[\n\r]'))
+      select edge_id::varchar doc_id, 'consistent' "label", 1 item_no, '甲' || a || '；`[1]`[2][2]' "text", case when edge_id % 7 = 0 then '1' else '1,2' end cited from e
+      union all select edge_id::varchar, 'contradictory', 2, '乙' || b || '；`[9]`', '' from e""",
+    "verdict_scores": r"select distinct edge_id::varchar doc_id, (edge_id % 7 + 5)::int score from relationships where edge_id % 7 < 6 and not regexp_matches(source_name, '[\n\r]') and not regexp_matches(target_name, '[\n\r]') union all select distinct edge_id::varchar, null from relationships where edge_id % 7 = 6 and not regexp_matches(source_name, '[\n\r]') and not regexp_matches(target_name, '[\n\r]')",
     "format_props": f"with p as (select row_id, {_props('tail_props')} t from kg_raw_graph) select row_id, {_shown('t')} shown from p",
     "verbalize": f"with {_SENT} select row_id, line from sent",
     "split_lines": f"with {_LINES} select row_id, line_no::int line_no, line from ln",

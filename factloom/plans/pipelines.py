@@ -1,30 +1,63 @@
-"""The three dataflows end to end: building a graph, checking news, answering questions."""
+"""The dataflows end to end: building a graph and its vectors, checking news, answering questions, reading verdicts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import entity_key_full, entity_key_name, safe_json, triple_text
-from factloom.operators import dedup, graph, report, search, triples
+from factloom.functions.text import entity_key_full, entity_key_name, safe_json, triple_text, verbalise
+from factloom.operators import dedup, graph, report, search, triples, vectors, verdict
 from factloom.providers import Answers, Encoder
+from factloom.session import written
 
 
 def build_graph(answers: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New nodes and edges after answers ``(doc_id, seq, payload)`` are merged into ``nodes`` and ``edges``."""
+    """Nodes and new edges after answers ``(doc_id, seq, payload)`` are merged into ``nodes`` and ``edges``.
+
+    Edges are ``(source_name, target_name, relation, evidence, doc_id, date)``; attributes of a relation named so replace
+    what else is known of it. The document of an edge is the answer's where its attributes name none.
+    """
     read = graph.read_results(answers, ["doc_id", "seq"])
     place = lambda seq, doc, pos: F.struct(seq.cast("bigint").alias("a"), doc.cast("string").alias("b"), pos.cast("int").alias("c"))
     made = graph.entity_nodes(read, ["doc_id", "seq"]).select("name", "id", "type", "props", place(F.col("seq"), F.col("doc_id"), F.col("pos")).alias("seq"))
     old = nodes.select("name", "id", "type", "props", place(F.lit(None), F.lit(None), F.lit(None)).alias("seq"))
     merged = graph.node_upsert(old, made)
     linked = graph.relation_edges(read, ["doc_id", "seq"]).withColumn("_s", F.struct("seq", "doc_id", "pos", "source", "target"))
+    linked = linked.withColumn("doc_id", F.coalesce(F.col("props")["doc_id"], F.col("doc_id").cast("string"))).withColumn("date", F.col("props")["date"])
     new = graph.edge_load(edges, linked, merged, "_s")
-    return merged, new.select("source_name", "target_name", "relation", "evidence", "doc_id")
+    return merged, new.select("source_name", "target_name", "relation", "evidence", "doc_id", "date")
+
+
+def embed_graph(kg: DataFrame, encoder: Encoder, props: bool = False, window: int = 510, stride: int = 256, tokens: Callable[[Column], Column] = vectors.token_pieces) -> DataFrame:
+    """``(r_id, vec)`` of triples ``(r_id, head, relation, tail, <props>)``: the mean over the encoded windows of a triple's text."""
+    shown = ["head_props", "rel_props", "tail_props"] if props else []
+    chunks = vectors.token_chunks(kg.select("r_id", triple_text("head", "relation", "tail", *shown).alias("_t")), "r_id", "_t", window, stride, tokens)
+    return vectors.mean_pool(encoder.encode(chunks, "chunk"), "r_id", "vec")
 
 
-def _answer_triples(docs: DataFrame, llm: Answers) -> DataFrame:
-    got = llm.answer(docs).select("doc_id", "round_no", safe_json("raw").alias("payload")).where("payload is not null")
-    return got
+def read_rounds(docs: DataFrame, llm: Answers) -> tuple[DataFrame, DataFrame]:
+    """Answers that can be read, ``(doc_id, round_no, payload)``, and the others, ``(doc_id, round_no, raw, reason)``."""
+    got = llm.answer(docs).select("doc_id", "round_no", "raw", safe_json("raw").alias("payload"))
+    reason = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "EMPTY").otherwise("NOT_JSON")
+    return got.where("payload is not null").drop("raw"), got.where("payload is null").select("doc_id", "round_no", "raw", reason.alias("reason"))
+
+
+def news_triples(docs: DataFrame, llm: Answers) -> DataFrame:
+    """``(doc_id, head, relation, tail, seq)``: the triples of a news text's rounds, each once."""
+    read = graph.read_results(read_rounds(docs, llm)[0], ["doc_id", "round_no"])
+    return triples.merge_triples(graph.resolve_triples(read, ["doc_id", "round_no"]), "doc_id", ["round_no", "pos"])
+
+
+def asked_triples(docs: DataFrame, llm: Answers) -> DataFrame:
+    """``(doc_id, head, relation, tail, seq)`` of a question's rounds; answers without a list of triples are read as entities and relations."""
+    got = read_rounds(docs, llm)[0]
+    listed = F.coalesce(F.array_contains(F.json_object_keys("payload"), "triples"), F.lit(False))
+    keys = ["doc_id", "round_no"]
+    told = triples.question_triples(got.where(listed), keys, "payload")
+    linked = graph.resolve_triples(graph.read_results(got.where(~listed), keys), keys)
+    return triples.merge_triples(told.unionByName(linked), "doc_id", ["round_no", "pos"])
 
 
 def verify(docs: DataFrame, llm: Answers, encoder: Encoder, kg: DataFrame, vectors: DataFrame, k: int = 100, least: float = 0.8, same: float = 0.8) -> DataFrame:
@@ -33,32 +66,39 @@ def verify(docs: DataFrame, llm: Answers, encoder: Encoder, kg: DataFrame, vecto
     Rounds of answers are merged, each triple searched with symbolic match, sentences put in buckets by their first
     entity with its properties, the first of similar ones kept.
     """
-    read = graph.read_results(_answer_triples(docs, llm), ["doc_id", "round_no"])
-    found = triples.merge_triples(graph.resolve_triples(read, ["doc_id", "round_no"]), "doc_id", ["round_no", "pos"])
-    return _report(docs, found, encoder, kg, vectors, k, least, same, True, report.NEWS)
+    return _report(docs, news_triples(docs, llm), encoder, kg, vectors, k, least, same, True, report.NEWS)
 
 
 def answer(docs: DataFrame, llm: Answers, encoder: Encoder, kg: DataFrame, vectors: DataFrame, k: int = 100, least: float = 0.8, same: float = 0.8) -> DataFrame:
     """Reports and status of questions: vector search only, buckets by bare entity name, the longest of similar lines kept."""
-    found = triples.question_triples(_answer_triples(docs, llm), ["doc_id"], "payload").withColumnRenamed("pos", "seq")
-    return _report(docs, found, encoder, kg, vectors, k, least, same, False, report.QUESTION)
+    return _report(docs, asked_triples(docs, llm), encoder, kg, vectors, k, least, same, False, report.QUESTION)
 
 
-def _report(docs, found, encoder, kg, vectors, k, least, same, news, headings) -> DataFrame:
-    keyed = found.withColumn("q_id", F.xxhash64("doc_id", "seq")).withColumn("_text", triple_text("head", "relation", "tail"))
-    queries = encoder.encode(keyed, "_text")
-    hits = search.hybrid_search(queries, kg, vectors, k, least, symbolic=news)
-    lines = search.fact_lines(hits, kg).join(queries.select("q_id", "doc_id", F.col("seq").alias("_s")), "q_id")
+def _report(docs, found, encoder, kg, vectors, k, least, same, news, headings, sentence=verbalise) -> DataFrame:
+    found = written(found, "triples")
+    said = ["head", "relation", "tail"]
+    asked = encoder.encode(found.select(*said).distinct().withColumn("_text", triple_text(*said)), "_text")
+    asked = written(asked.where("vec is not null").withColumn("q_id", F.monotonically_increasing_id()), "asked")  # each triple once, whoever asks; written, so ids stay
+    hits = written(search.hybrid_search(asked, kg, vectors, k, least, symbolic=news), "hits")
     key = entity_key_full if news else entity_key_name
-    order = F.row_number().over(_by("doc_id", "_s", "rank", "line_no"))
-    lines = encoder.encode(lines.select("doc_id", order.alias("seq"), "line", key("line").alias("bucket")), "line")
-    kept = (dedup.keep_first if news else dedup.keep_longest)(lines, ["doc_id", "bucket"], same)
+    lines = search.fact_lines(hits.select("r_id").distinct().withColumns({"q_id": F.lit(0), "rank": F.lit(0)}), kg, sentence).select("r_id", "line_no", "line", key("line").alias("bucket"))
+    lines = written(encoder.encode(lines, "line"), "lines")  # each fact once
+    wanted = found.join(asked.select(*said, "q_id"), said).join(hits.select("q_id", "r_id", "rank"), "q_id")
+    first = wanted.groupBy("doc_id", "r_id").agg(F.min(F.struct("seq", "rank")).alias("_o"))  # a repeated line is like its first
+    placed = first.join(lines, "r_id").withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("_o", "line_no", "r_id")))
+    placed = written(placed.select("doc_id", "seq", "line", "bucket", "vec"), "placed")
+    kept = (dedup.keep_first if news else dedup.keep_longest)(placed, ["doc_id", "bucket"], same)
     numbered = dedup.renumber(kept, "doc_id", ["seq"], "bracket" if news else "prefix")
-    state = report.status(docs, found, lines, "doc_id")
+    state = report.status(docs, found, placed, "doc_id")
     return state.join(report.assemble(docs, numbered.select("doc_id", "n", "text"), "doc_id", headings), "doc_id", "left").select("doc_id", "status", "report")
 
 
-def _by(doc: str, *order: str):
-    from pyspark.sql import Window
+def judge(reports: DataFrame, llm: Answers) -> tuple[DataFrame, DataFrame]:
+    """Verdicts or answers on reports ``(doc_id, report)``: ``(doc_id, round_no, score, raw)``, and their points ``(doc_id, round_no, label, item_no, text, cited)``.
 
-    return Window.partitionBy(doc).orderBy(*order)
+    Only numbers of the report's own knowledge lines count as cited.
+    """
+    raw = llm.answer(reports.where("report is not null").select("doc_id", F.col("report").alias("text")))
+    known = reports.select("doc_id", verdict.knowledge_lines("report").alias("n_known"))
+    points = verdict.points(raw.join(known, "doc_id", "left"), ["doc_id", "round_no"], "raw", "n_known")
+    return raw.select("doc_id", "round_no", verdict.score("raw").alias("score"), "raw"), points

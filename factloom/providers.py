@@ -10,8 +10,8 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.ml.feature import HashingTF, NGram, Normalizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +37,28 @@ class ReplayAnswers:
 
 
 class HashingEncoder:
-    """Unit vectors of hashed character pairs: deterministic, without a model. Null and blank texts get a null vector."""
+    """Unit vectors of hashed character pairs: deterministic, without a model. Texts of fewer than two characters get a null vector."""
 
     def __init__(self, size: int = 64) -> None:
         self.size = size
 
     def encode(self, texts: DataFrame, text: str, to: str = "vec") -> DataFrame:
-        chars = texts.withColumn("_c", F.split(F.coalesce(F.col(text), F.lit("")), ""))
-        grams = NGram(n=2, inputCol="_c", outputCol="_g").transform(chars)
-        hashed = HashingTF(numFeatures=self.size, inputCol="_g", outputCol="_h").transform(grams)
-        scaled = Normalizer(inputCol="_h", outputCol="_n").transform(hashed)
-        return scaled.withColumn(to, F.when(F.size("_g") > 0, vector_to_array("_n", "float32"))).drop("_c", "_g", "_h", "_n")
+        return texts.withColumn(to, F.arrow_udf(lambda t: _hashed_pairs(t, self.size), "array<float>")(F.col(text)))
+
+
+def _hashed_pairs(texts: pa.Array, size: int) -> pa.Array:
+    """Per text, how often each of ``size`` buckets gets a pair of neighbouring characters, scaled to length 1."""
+    held = [t or "" for t in texts.to_pylist()]
+    length = np.array([len(t) for t in held], np.int64)
+    code = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(held)), length)
+    inside = row[1:] == row[:-1]
+    mixed = ((code[:-1] << np.uint64(21) | code[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(size)
+    count = np.bincount(row[1:][inside] * size + mixed[inside].astype(np.int64), minlength=len(held) * size).reshape(len(held), size).astype(float)
+    norm = np.linalg.norm(count, axis=1, keepdims=True)
+    unit = np.divide(count, norm, out=count, where=norm > 0).astype(np.float32)
+    ends = np.arange(len(held) + 1, dtype=np.int32) * size
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()), mask=pa.array(norm[:, 0] == 0))
 
 
 class TableEncoder:

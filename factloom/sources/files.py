@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,11 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> D
 
 
 def decode_upload(content: Column | str) -> Column:
-    """Bytes as UTF-8 text without byte-order mark; what isn't UTF-8 is left out."""
+    """Bytes as UTF-8 text without byte-order mark; what isn't UTF-8 is left out, a replacement character that is there stays."""
     c = F.col(content) if isinstance(content, str) else content
-    text = F.coalesce(F.try_validate_utf8(c.cast("string")), F.regexp_replace(F.make_valid_utf8(c.cast("string")), "�", ""))
+    kept = F.replace(c.cast("string"), F.lit("\ufffd"), F.lit("\ufffe"))  # told apart from what make_valid_utf8 puts in
+    mended = F.replace(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")), F.lit("\ufffe"), F.lit("\ufffd"))
+    text = F.coalesce(F.try_validate_utf8(c.cast("string")), mended)
     return F.regexp_replace(text, r"^\x{FEFF}", "")
 
 
@@ -49,9 +51,11 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*TRIPLE, *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in PROPS))
 
 
-def write_triples(df: DataFrame, path: str) -> None:
-    """Triple table to CSV that ``read_triples`` reads."""
-    df.select(*TRIPLE, *(c for c in PROPS if c in df.columns)).write.mode("overwrite").csv(path, header=True, escape='"')
+def write_triples(df: DataFrame, path: str) -> int:
+    """Triple table to CSV that ``read_triples`` reads; returns the number of rows, counted as they are written."""
+    seen = Observation()
+    df.select(*TRIPLE, *(c for c in PROPS if c in df.columns)).observe(seen, F.count("*").alias("n")).write.mode("overwrite").csv(path, header=True, escape='"')
+    return seen.get["n"]
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
@@ -59,6 +63,20 @@ def write_vectors(df: DataFrame, path: str) -> None:
     df.select("row_id", "embedding").write.mode("overwrite").parquet(path)
 
 
-def write_reports(df: DataFrame, path: str) -> None:
-    """Reports by document id, appended."""
-    df.select("doc_id", "report").write.mode("append").parquet(path)
+def _replace_run(df: DataFrame, path: str, run: str) -> None:
+    df.withColumn("run_id", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def write_reports(df: DataFrame, path: str, run: str) -> None:
+    """Reports by document id; a repeated run replaces its own rows and no others."""
+    _replace_run(df.select("doc_id", "report"), path, run)
+
+
+def write_verdicts(df: DataFrame, path: str, run: str) -> None:
+    """Verdicts or answers by document id, as ``write_reports``."""
+    _replace_run(df.select("doc_id", "round_no", "score", "raw"), path, run)
+
+
+def write_document_vectors(df: DataFrame, path: str, run: str) -> None:
+    """Vectors of whole documents ``(doc_id, vec)``, as ``write_reports``."""
+    _replace_run(df.select("doc_id", "vec"), path, run)

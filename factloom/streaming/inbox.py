@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.functions.text import id_from_path, strip_text
 
@@ -17,10 +16,13 @@ def read_inbox(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drain(inbox: DataFrame, checkpoint: str, handle: Callable[[DataFrame], DataFrame], out: str):
-    """Run ``handle`` over all that has arrived and not been handled, append its rows to Parquet, stop. Returns the finished query."""
+    """Run ``handle`` over all that has arrived and not been handled, write its rows to Parquet, stop. Returns the finished query.
+
+    Each micro-batch has a folder of its own that a repeated attempt replaces, so no row is there twice.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        handle(df.dropDuplicates(["doc_id"])).withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        handle(df.dropDuplicates(["doc_id"])).write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
 
     query = inbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -19,8 +19,9 @@ def test_vector_functions(spark, rows):
 
 
 def test_exact_top_k_ties_blocks_and_empty(spark, rows, monkeypatch):
-    monkeypatch.setattr(vectors, "ROW_BLOCK", 2)
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(vectors, "QUERY_NUMBERS", 2)
+    monkeypatch.setattr(vectors, "TILE", 2)
+    monkeypatch.setattr(vectors, "WAITING", 1)
     data = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.6, 0.8]), (4, [0.0, 0.0]), (5, None), (6, [-1.0, 0.0])], "r_id bigint, vec array<float>")
     q = data.where("r_id in (1, 3)").withColumnRenamed("r_id", "q_id")
     got = rows(vectors.exact_top_k(q, data, 2).selectExpr("q_id", "r_id", "round(sim, 6)", "rank"))
@@ -139,6 +140,37 @@ def test_pipelines_end_to_end(spark):
     asked = spark.createDataFrame([("d", 1, '{"triples":[{"subject":"A","relation":"r","object":"C"}]}')], "doc_id string, round_no int, raw string")
     got = {r["doc_id"]: (r["status"], r["report"]) for r in pipelines.answer(docs, ReplayAnswers(asked), encoder, kg, vec, same=0.99).collect()}
     assert got["d"][0] == "OK" and "[知識查詢結果]\n[1] A" in got["d"][1]
+    linked = spark.createDataFrame([("d", 1, json.dumps(ANSWER)), ("d", 2, '{"triples":[{"subject":"A","relation":"r"}]}'), ("d", 3, ""), ("d", 4, "no")], "doc_id string, round_no int, raw string")
+    assert [(r["head"], r["tail"]) for r in pipelines.asked_triples(docs, ReplayAnswers(linked)).orderBy("seq").collect()][-1] == ("A", "未知")
+    got = {r["doc_id"]: r["status"] for r in pipelines.answer(docs, ReplayAnswers(linked), encoder, kg, vec).collect()}
+    assert got["d"] == "OK" and got["n"] == "NO_TRIPLES"
+    assert sorted((r["round_no"], r["reason"]) for r in pipelines.read_rounds(docs, ReplayAnswers(linked))[1].collect()) == [(3, "EMPTY"), (4, "NOT_JSON")]
+
+
+def test_verdicts(spark, rows):
+    raw = "```\n一、明細\n1. 前\n✅ 一致\n1. 甲[1][3]\n⚠️ 缺漏\n1. 乙[2]\n12. 丙\n二、總結\n1. 無\n三、評分\n11分 7分\n```"
+    reports = spark.createDataFrame([("a", "```\n[比對知識]\n[1] x\n[2] y\n```"), ("b", "r"), ("c", None)], "doc_id string, report string")
+    judged = spark.createDataFrame([("a", 1, raw), ("b", 1, "nothing"), ("b", 2, None), ("c", 1, raw)], "doc_id string, round_no int, raw string")
+    scores, points = pipelines.judge(reports, ReplayAnswers(judged))
+    assert rows(scores, "doc_id", "round_no", "score") == [("a", 1, 7), ("b", 1, None), ("b", 2, None)]
+    assert rows(points) == [("a", 1, "consistent", 1, "甲[1][3]", [1]), ("a", 1, "missing", 2, "乙[2]", [2]), ("a", 1, "missing", 3, "丙", [])]
+
+
+def test_folds_without_direction(spark):
+    lines = [("d", "b", 1, "x", None), ("d", "b", 2, "x", [0.0, 0.0]), ("d", "b", 3, "yy", [1.0, 0.0]), ("d", "b", 4, "zzz", [1.0, 0.1]), ("d", None, 5, None, [1.0, 0.0]), ("d", None, 6, "q", [1.0, 0.0])]
+    df = spark.createDataFrame(lines, "doc string, bucket string, seq int, line string, vec array<float>")
+    assert sorted(r["seq"] for r in dedup.keep_first(df, ["doc", "bucket"], 0.9).collect()) == [1, 2, 3, 5]
+    assert sorted((r["seq"], r["line"]) for r in dedup.keep_longest(df, ["doc", "bucket"], 0.9).collect()) == [(1, "x"), (2, "x"), (3, "zzz"), (5, "q")]
+    assert dedup.keep_first(df.limit(0), ["doc", "bucket"]).count() == dedup.keep_longest(df.limit(0), ["doc", "bucket"]).count() == 0
+
+
+def test_token_windows(spark, rows):
+    texts = [(1, "中文ab  cd "), (2, " ".join(map(str, range(1023)))), (3, ""), (4, None), (5, "字" * 511)]
+    got = {}
+    for n, no, size, chunk in rows(vectors.token_chunks(spark.createDataFrame(texts, "n int, t string"), "n", "t")):
+        got.setdefault(n, []).append((no, size, chunk))
+    assert got[1] == [(0, 5, "中文ab  cd ")] and set(got) == {1, 2, 5}
+    assert [(no, size) for no, size, _ in sorted(got[2])] == [(0, 510), (1, 510), (2, 510), (3, 255)] and got[5] == [(0, 510, "字" * 510), (1, 255, "字" * 255)]
 
 
 def test_build_graph(spark, rows):
@@ -147,7 +179,10 @@ def test_build_graph(spark, rows):
     answers = spark.createDataFrame([("d", 1, json.dumps(ANSWER))], "doc_id string, seq bigint, payload string")
     merged, new = pipelines.build_graph(answers, nodes, edges)
     assert rows(merged, "name", "id", "type") == [("A", "0", "old"), ("B", "E2", "T"), ("C", "E2", "Entity")]
-    assert rows(new, "source_name", "target_name", "evidence") == [("A", "C", "e")]
+    assert rows(new, "source_name", "target_name", "evidence", "doc_id", "date") == [("A", "C", "e", "d", None)]
+    dated = {**ANSWER, "relations": [{**ANSWER["relations"][0], "evidence": "f", "attributes": {"date": "2024-01-02", "doc_id": "x", "relation": "last", "place": {"a": 1}}}]}
+    _, new = pipelines.build_graph(spark.createDataFrame([("d", 1, json.dumps(dated))], "doc_id string, seq bigint, payload string"), nodes, edges)
+    assert set(rows(new, "evidence", "relation", "doc_id", "date")) == {("f", "last", "x", "2024-01-02")}
 
 
 def test_files_round_trip(spark, rows, tmp_path):
@@ -159,9 +194,13 @@ def test_files_round_trip(spark, rows, tmp_path):
     assert rows(docs) == [("a", "a.txt", "ok"), ("b", "b.txt", "新聞")]
     assert rows(files.pending(docs, docs.where("doc_id = 'a'")), "doc_id") == [("b",)]
     df = spark.createDataFrame([("h", "r", 'say "x",\nline', '{"a":"b"}', None, "{}"), ("", "r", None, None, None, None)], "head string, relation string, tail string, head_props string, rel_props string, tail_props string")
-    files.write_triples(df, str(tmp_path / "t"))
+    assert files.write_triples(df, str(tmp_path / "t")) == 2
     assert files.read_triples(spark, str(tmp_path / "t")).where("relation = 'r'").count() == 2
     assert rows(files.read_triples(spark, str(tmp_path / "t")).where("head = 'h'"))[0] == ("h", "r", 'say "x",\nline', '{"a":"b"}', None, "{}")
+    assert rows(spark.createDataFrame([(bytearray("a\ufffdb".encode() + b"\xff"),), (bytearray("\ufffd".encode()),)], "c binary").select(files.decode_upload("c"))) == [("a\ufffdb",), ("\ufffd",)]
+    for run, text in (("1", "old"), ("2", "two"), ("1", "new")):
+        files.write_reports(spark.createDataFrame([("d", text)], "doc_id string, report string"), str(tmp_path / "r"), run)
+    assert rows(spark.read.parquet(str(tmp_path / "r")), "report", "run_id") == [("new", 1), ("two", 2)]
     paths = spark.createDataFrame([("/x/y/a.txt", "1"), ("/in/a.txt", "2"), ("a.txt/z", "3")], "path string, text string")
     assert files.resolve_document(paths, "a.txt", "/in").first()["text"] == "2"
 
