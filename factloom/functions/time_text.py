@@ -7,6 +7,7 @@ import re
 import zoneinfo
 from datetime import date, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ _ZONE = r"(?P<off>(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?|(?:UTC|GMT)[+-]\d|[A-Za-z]{1
 _CLOCK = re.compile(rf"(?P<part>{_PARTS})? ?(?P<h>\d{{1,2}})(?: ?[:時时點点] ?(?:(?P<m>\d{{1,2}})(?: ?[:分] ?(?P<s>\d{{1,2}})(?:[.,](?P<f>\d+))?)?)?) ?[分秒]? ?(?P<half>[AaPp]\.?[Mm]\.?)? ?" + _ZONE)
 _CLOCK_COMPACT = re.compile(r"(?P<h>\d{2})(?P<m>\d{2})(?:(?P<s>\d{2})(?:[.,](?P<f>\d+))?)? ?" + _ZONE)
 
+#: Orders of all-number dates; formats of these begin with the order's name.
+ORDERS = ("ymd", "mdy", "dmy")
 READING = pa.struct([("fmt", pa.string()), ("day", pa.date32()), ("epoch", pa.int64())])
 PARSED = pa.struct([("said", pa.bool_()), ("readings", pa.list_(READING)), ("micros", pa.int64()), ("shift", pa.int64()), ("zone", pa.string())])
 PARSED_DDL = "struct<said:boolean,readings:array<struct<fmt:string,day:date,epoch:bigint>>,micros:bigint,shift:bigint,zone:string>"
@@ -49,6 +52,8 @@ PARSED_DDL = "struct<said:boolean,readings:array<struct<fmt:string,day:date,epoc
 
 def tidy(text: str | None) -> str:
     """Full-width signs to ASCII, white space to single spaces, trimmed; null becomes ''."""
+    if text and text.isascii() and "  " not in text and text.isprintable():
+        return text.strip()
     return _SPACE.sub(" ", text.translate(_WIDE)).strip() if text else ""
 
 
@@ -66,24 +71,22 @@ def _years(order: str, year: str, m: str, d: str) -> list[tuple[str, date | None
     return [(fmt, _day(v, int(m), int(d))) for fmt, v in [*options, (f"{order}_roc", y + 1911)] if v > 0]
 
 
-def readings(text: str, order: str | None, first: date, last: date) -> tuple[list[tuple[str, date | None, int | None]], str]:
-    """All readings ``(fmt, day, epoch in microseconds)`` of a tidy text within the dates, and what follows the date.
+def readings(text: str, first: date, last: date) -> tuple[list[tuple[str, date | None, int | None]], str]:
+    """All readings ``(format, day, epoch in microseconds)`` of a tidy text within the dates, and what follows the date.
 
-    ``order`` (ymd, mdy, dmy; None for unknown) restricts all-number dates without a four-digit year at the
-    start; joined by dots with the four-digit year last, such dates put the day first whatever the order.
-    Without an order all three stay, for the mixture model to choose from.
+    All-number dates without a four-digit year at the start are read in every order that gives a day (ymd, mdy, dmy);
+    joined by dots with the four-digit year last, they put the day first. Which reading holds is for the mixture to say.
     """
     out: list[tuple[str, date | None]] = []
-    may = lambda *orders: [o for o in orders if order in (None, o)]
     if m := _NUMERIC.match(text):
         a, sep, b, c = m.groups()
         if len(a) == 4:
-            out = _years("ymd", a, b, c) if len(c) <= 2 else []
+            out = _years("iso", a, b, c) if len(c) <= 2 else []
         elif len(c) == 4:
-            for o in ["dmy"] if sep == "." else may("dmy", "mdy"):
-                out += _years(o, c, *((b, a) if o == "dmy" else (a, b)))
+            for o in ["dot"] if sep == "." else ["dmy", "mdy"]:
+                out += _years(o, c, *((a, b) if o == "mdy" else (b, a)))
         else:
-            for o in may("ymd", "dmy", "mdy"):
+            for o in ORDERS:
                 y, mo, d = {"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}[o]
                 out += _years(o, y, mo, d) if len(d) <= 2 and len(mo) <= 2 else []
     elif m := _EPOCH.match(text):
@@ -94,9 +97,9 @@ def readings(text: str, order: str | None, first: date, last: date) -> tuple[lis
     elif m := _COMPACT.match(text):
         a, b, c = m.groups()
         if len(a) > 2:
-            out = _years("ymd", a, b, c)
+            out = _years("iso", a, b, c)
         else:
-            for o in may("ymd", "dmy", "mdy"):
+            for o in ORDERS:
                 out += _years(o, *{"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}[o])
     elif m := _WEEK.match(text):
         try:
@@ -108,7 +111,7 @@ def readings(text: str, order: str | None, first: date, last: date) -> tuple[lis
         out = [("ordinal", start + timedelta(n - 1))] if start and 1 <= n <= 365 + calendar.isleap(int(m[1])) else []
     elif m := _CJK.match(text):
         era, y, mo, d = m.groups()
-        out = [("ymd_era", _day(ERAS[era] + (1 if y == "元" else int(y)), int(mo), int(d)))] if era else _years("ymd", y, mo, d) if y != "元" else []
+        out = [("era", _day(ERAS[era] + (1 if y == "元" else int(y)), int(mo), int(d)))] if era else _years("cjk", y, mo, d) if y != "元" else []
     elif m := _DAY_FIRST.match(text):
         out = [("english", _day(int(m[3]), _MONTHS.get(m[2].lower(), 0), int(m[1])))]
     elif m := _MONTH_FIRST.match(text):
@@ -158,18 +161,40 @@ def clock(text: str) -> tuple[int, int | None, str | None] | None:
 
 
 def parser(first: str, last: str):
-    """Arrow UDF ``(date, time, order) -> PARSED``; ``readings`` is empty where date or time of day can't be read."""
+    """Arrow UDF ``(date, time) -> PARSED``; ``readings`` is empty where date or time of day can't be read.
+
+    Equal texts of a batch are read once, whether they are dates, times of day or both in one.
+    """
     low, high = date.fromisoformat(first), date.fromisoformat(last)
 
     @F.arrow_udf(PARSED_DDL)
-    def parse(dates: pa.Array, times: pa.Array, orders: pa.Array) -> pa.Array:
-        out = []
-        for d, t, order in zip(dates.to_pylist(), times.to_pylist(), orders.to_pylist()):
-            d, t = tidy(d), tidy(t)
-            found, rest = readings(d or t, order, low, high) if d or t else ([], "")
-            at = clock(t if d and t else rest) if found else None
-            out.append((bool(d or t), [dict(zip(("fmt", "day", "epoch"), x)) for x in found] if at else [], *(at or (None, None, None))))
-        return pa.array([dict(zip(("said", "readings", "micros", "shift", "zone"), x)) for x in out], PARSED)
+    def parse(dates: pa.Array, times: pa.Array) -> pa.Array:
+        d, t = (c.cast(pa.string()).dictionary_encode() for c in (dates, times))
+        texts = [[tidy(x) for x in c.dictionary.to_pylist()] + [""] for c in (d, t)]
+        at = [np.asarray(c.indices.fill_null(len(x) - 1)) for c, x in zip((d, t), texts)]
+        pair, back = np.unique(np.stack(at, 1), axis=0, return_inverse=True)
+        dated = [readings(x, low, high) if x else ([], "") for x in texts[0]]
+        whole: dict[str, tuple] = {}
+        said, found, when = [], [], []
+        for i, j in pair.tolist():
+            date_text, time_text = texts[0][i], texts[1][j]
+            if date_text:
+                got, rest = dated[i]
+                rest = time_text or rest
+            else:
+                got, rest = readings(time_text, low, high) if time_text else ([], "")
+            if got and rest not in whole:
+                whole[rest] = clock(rest)
+            clocked = whole[rest] if got else None
+            said.append(bool(date_text or time_text))
+            found.append(got if clocked else [])
+            when.append(clocked or (None, None, None))
+        size = np.array([len(x) for x in found], np.int32)
+        flat = [r for x in found for r in x]
+        each = pa.StructArray.from_arrays([pa.array([r[k] for r in flat], f.type) for k, f in enumerate(READING)], fields=list(READING))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), each)
+        columns = [pa.array(said, pa.bool_()), lists, *(pa.array([w[k] for w in when], PARSED[k + 2].type) for k in range(3))]
+        return pa.StructArray.from_arrays(columns, fields=list(PARSED)).take(pa.array(back.ravel()))
 
     return parse
 

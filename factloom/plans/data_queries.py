@@ -15,10 +15,11 @@ from factloom.tables import table
 FIRST_DAY, LAST_DAY = "2019-12-29", "2026-01-03"  # local days of instants from 2019-12-30 to 2026-01-02
 
 
-def _times(spark: SparkSession, folder: str) -> DataFrame:
+def _times(spark: SparkSession, folder: str, declared: bool = True) -> DataFrame:
     graph = table(spark, folder, "kg_raw_graph")
     said = member_columns(graph, "rel_props", ["date", "time"], ["row_id", "feed"]).where("is_json")
-    feeds = table(spark, folder, "feeds").groupBy("feed").agg(F.min("zone").alias("zone"), F.min("date_order").alias("date_order"))
+    order = F.min("date_order") if declared else F.lit(None).cast("string")
+    feeds = table(spark, folder, "feeds").groupBy("feed").agg(F.min("zone").alias("zone"), order.alias("date_order"))
     return normalise_times(said.join(feeds, "feed", "left"), "m_date", "m_time", "feed", "zone", "date_order", FIRST_DAY, LAST_DAY)
 
 
@@ -33,6 +34,11 @@ def p1_formats(spark: SparkSession, folder: str) -> DataFrame:
     return _times(spark, folder).groupBy("feed", "time_status", "time_format").agg(F.count("*").alias("n"))
 
 
+def p1_undeclared(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders not declared, so that the mixture alone decides: per feed and format, what it decided by posterior and what stays ambiguous."""
+    return _times(spark, folder, False).groupBy("feed", "time_status", "time_format").agg(F.count("*").alias("n"), F.sum((F.col("posterior") < 1).cast("int")).alias("n_by_posterior"), F.min("posterior").alias("least_posterior"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     inner = references.payload_orphans(table(spark, folder, "extraction_result"))
     outer = references.edge_orphans(table(spark, folder, "relationships"), table(spark, folder, "entity"))
@@ -62,7 +68,7 @@ def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return json_flatten.node_table(results, "extraction_id", "payload", lenient=True)
 
 
-QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_nodes": p4_nodes}
+QUERIES = {"p1_found": p1_found, "p1_formats": p1_formats, "p1_undeclared": p1_undeclared, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_nodes": p4_nodes}
 _OBJECT = r"""regexp_replace(regexp_extract(payload, '(?s)\{.*\}'), ',\s*([}\]])', '\1', 'g')"""
 _READ = rf"""x as (select distinct extraction_id, doc_id, round_no, {_OBJECT} b from extraction_result where payload is not null), g as (select * from x where b <> '' and json_valid(b) and json_type(b) = 'OBJECT')"""
 _ORPHANS = rf"""{_READ},

@@ -68,7 +68,7 @@ def test_mixture_chooses_order_and_marks_doubt(spark):
 
 
 def test_mixture_weights():
-    counts = pd.DataFrame({"source": ["s"] * 3, "signature": [["dmy"], ["dmy", "mdy"], ["mdy"]], "n": [900, 500, 3]})
+    counts = pd.DataFrame({"source": ["s"] * 3, "signature": [["dmy"], ["dmy", "mdy"], ["mdy"]], "n": [900, 500, 3], "order": [None] * 3})
     fitted = fit_mixture(counts).set_index(counts["signature"].map(tuple))
     assert fitted.loc[[("dmy", "mdy")], "fmt"].iloc[0] == "dmy" and fitted.loc[[("dmy", "mdy")], "posterior"].iloc[0] > 0.99
 
@@ -87,8 +87,17 @@ def test_clock(text, micros):
     assert (at and at[0]) == micros
 
 
-def test_order_limits_readings():
-    assert [f for f, *_ in readings("05/06/2024", "mdy", LOW, HIGH)[0]] == ["mdy"]
-    assert [f for f, *_ in readings("05.06.2024", "mdy", LOW, HIGH)[0]] == ["dmy"]
-    assert readings("05/06/2024", "ymd", LOW, HIGH)[0] == []
-    assert len(readings("05/06/2024", None, LOW, HIGH)[0]) == 2
+def test_readings_in_every_order():
+    assert [f for f, *_ in readings("05/06/2024", LOW, HIGH)[0]] == ["dmy", "mdy"]
+    assert [f for f, *_ in readings("05.06.2024", LOW, HIGH)[0]] == ["dot"]
+    assert [f for f, *_ in readings("24/05/06", LOW, HIGH)[0]] == ["ymd_yy"]
+
+
+def test_declared_order_is_a_strong_prior(spark):
+    other = [("05/13/2024", None, "de")] * 40  # no such day in the declared order
+    got = run(spark, [("03/04/2024", None, "de"), *other])
+    assert got[0][:2] == ("2024-04-02T22:00:00.000000Z", "ok") and all(got[i][:2] == (None, "unread") for i in range(1, 41))
+    got = run(spark, [("03/04/2024", None, "de"), *other], order=False)
+    assert got[0][2] == "mdy" and got[1][0] == "2024-05-12T22:00:00.000000Z"
+    got = run(spark, [("03/04/2024", "10:00", "de"), ("03/04/2024", "25:00", "de"), (None, "03/04/2024 10:00", "de"), ("03/04/2024 10:00", None, "de")])
+    assert [got[i][0] for i in range(4)] == ["2024-04-03T08:00:00.000000Z", None, "2024-04-03T08:00:00.000000Z", "2024-04-03T08:00:00.000000Z"]
