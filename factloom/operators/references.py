@@ -107,11 +107,8 @@ def payload_orphans(results: DataFrame) -> DataFrame:
     found = written(found, "references")
     defined = found.where("field is null")
     refs = found.where("field is not null")
-    gone = refs.join(
-        defined.select(F.col("doc_id").alias("_d"), F.col("ref").alias("_r"), F.col("extraction_id").alias("_e")).distinct(),
-        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("ref") == F.col("_r")) & (F.col("extraction_id") == F.col("_e")),
-        "left_anti",
-    )
+    keys = ["extraction_id", "ref"]
+    gone = refs.join(orphan_keys(refs, defined, keys), keys, "left_semi")
     latest = defined.where("doc_id is not null").groupBy("doc_id", "ref").agg(F.max("round_no").alias("_last"))
     gone = gone.join(latest, ["doc_id", "ref"], "left")
     reason = F.when(F.col("_last") > F.col("round_no"), "late").otherwise("missing")
