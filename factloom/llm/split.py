@@ -12,25 +12,29 @@ from pyspark.sql import types as T
 
 from factloom.functions.json_arrow import nodes, slices
 
-#: Boundaries by rank: 1 after a sentence end, 2 after a line break, 3 before a list item, 4 after a blank line, 5 before a heading.
+#: Boundaries by rank: 1 at a block tag within a line, 2 after a sentence end, 3 after a line break, 4 before a list item, 5 after a blank line, 6 before a heading.
+TAG, SENTENCE, LINE, ITEM, BLANK, HEADING = range(1, 7)
 _LINES = r"\n\r\v\f\x1c-\x1e\x85\u2028\u2029"
-_BREAK = re.compile(rf"\r\n|[{_LINES}]|[。！？!?]+|\.(?=\s)")
+_BLOCK = r"(?:h[1-6]|p|li|ul|ol|tr|table|div|section)\b"
+_BREAK = re.compile(rf"\r\n|[{_LINES}]|[。！？!?]+|\.(?=\s)|(?=<{_BLOCK})|</{_BLOCK}[^<>]*>")
 _LINE = re.compile(rf"[{_LINES}]")
-_HEADING = re.compile(r"#{1,6}\s|<h[1-6]\b|[一二三四五六七八九十]{1,3}、|第[一二三四五六七八九十百\d]+[章節条條]")
+_HEADING = re.compile(r"#{1,6}\s|<h[1-6]\b|[一二三四五六七八九十]{1,3}、|第[一二三四五六七八九十百\d]+[章節條条]")
 _ITEM = re.compile(r"[-*+•]\s|\d{1,3}[.)、]\s?|<(?:li|p|tr|div)\b")
 
 
 def boundaries(text: str) -> tuple[list[tuple[int, int]], int]:
-    """Places where the text may be cut, as ``(place, rank)`` in order, and the length of its longest stretch without a boundary sign."""
+    """Places where the text may be cut, as ``(place, rank)`` in order, and the length of its longest stretch without a sentence end or line break."""
     cuts: list[tuple[int, int]] = []
     longest, last = 0, 0
     for m in _BREAK.finditer(text):
-        longest = max(longest, m.start() - last)
-        last = at = m.end()
-        rank = 1
-        if _LINE.match(m[0]):
-            rank = 4 if cuts and cuts[-1][0] == m.start() and cuts[-1][1] >= 2 else 5 if _HEADING.match(text, at) else 3 if _ITEM.match(text, at) else 2
-        if 0 < at < len(text):
+        at, rank = m.end(), TAG
+        if m[0][:1] not in ("", "<"):
+            longest = max(longest, m.start() - last)
+            last, rank = at, SENTENCE
+            if _LINE.match(m[0]):
+                blank = cuts and cuts[-1][0] == m.start() and cuts[-1][1] >= LINE
+                rank = BLANK if blank else HEADING if _HEADING.match(text, at) else ITEM if _ITEM.match(text, at) else LINE
+        if 0 < at < len(text) and not (rank == TAG and cuts and cuts[-1][0] == at):
             cuts.append((at, rank))
     return cuts, max(longest, len(text) - last)
 
@@ -39,51 +43,39 @@ def pack(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, bool
     """New stretches ``(start, end, cut at a boundary)`` that cover the text, and whether it has an unbroken stretch over ``limit``.
 
     A node of the tree is a stretch between two boundaries of some rank; its children lie between the
-    boundaries of the next lower rank in it. Siblings are merged while they fit, a node is opened only if it
-    does not fit, and what has no boundary left is cut by length. The first piece holds ``limit`` characters,
-    each further one leaves room for ``overlap``.
+    boundaries of the next lower rank in it. From the bottom up, neighbouring children that are whole are merged
+    while they fit; a node that does not fit is opened, and what it leaves is not merged with its own siblings. What
+    has no boundary left is cut by length. The first piece holds ``limit`` characters, each further one leaves room
+    for ``overlap``.
     """
     cuts, longest = boundaries(text)
-    out: list[tuple[int, int, bool]] = []
-    begin = end = 0
-
-    def room() -> int:
-        return limit - (overlap if out else 0)
-
-    def flush(natural: bool) -> None:
-        nonlocal begin
-        if end > begin:
-            out.append((begin, end, natural))
-            begin = end
-
-    stack = [(0, len(text), 0, len(cuts), 5)]
-    while stack:
-        a, b, i, j, rank = stack.pop()
-        if b - begin <= room():
-            end = b
-            continue
-        if b - a <= limit - overlap:  # fits as a piece of its own
-            flush(True)
-            end = b
-            continue
-        while rank and not any(r == rank for _, r in cuts[i:j]):
-            rank -= 1
-        if rank:
-            children, start, k = [], a, i
-            for n in range(i, j):
-                if cuts[n][1] >= rank:
-                    children.append((start, cuts[n][0], k, n, rank - 1))
-                    start, k = cuts[n][0], n + 1
-            children.append((start, b, k, j, rank - 1))
-            stack.extend(reversed(children))
-            continue
-        flush(True)
-        while b - begin > room():
-            end = begin + room()
-            flush(False)
-        end = b
-    flush(True)
-    return out, longest > limit
+
+    def room(start: int) -> int:
+        return limit - (overlap if start else 0)
+
+    def pieces(a: int, b: int, i: int, j: int, rank: int) -> list[tuple[int, int, bool]]:
+        if b - a <= room(a):
+            return [(a, b, True)]
+        rank = max((r for _, r in cuts[i:j] if r <= rank), default=0)
+        if not rank:
+            ends = [a + room(a)]
+            while ends[-1] < b:
+                ends.append(ends[-1] + room(ends[-1]))
+            return [(x, min(y, b), y >= b) for x, y in zip([a, *ends], ends)]
+        out: list[tuple[int, int, bool]] = []
+        start, first, whole = a, i, False  # whole: the last of ``out`` is made of unopened children
+        for n in [*(n for n in range(i, j) if cuts[n][1] >= rank), j]:
+            end = cuts[n][0] if n < j else b
+            got = pieces(start, end, first, n, rank - 1)
+            if len(got) == 1 and whole and end - out[-1][0] <= room(out[-1][0]):
+                out[-1] = (out[-1][0], end, True)
+            else:
+                out += got
+                whole = len(got) == 1
+            start, first = end, n + 1
+        return out
+
+    return pieces(0, len(text), 0, len(cuts), HEADING) if text else [], longest > limit
 
 
 def split_items(items: DataFrame, keys: list[str], text: str, limit: int = 600, overlap: int = 60) -> DataFrame:

@@ -11,6 +11,7 @@ def _hard(text: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "p8_decoded": "select doc_id, coalesce(\"text\", '') \"text\" from documents",
     "p7_found": f"""with t as (select distinct 'news_in' tbl, doc_id item_id, 'text' field, "text" v from news_in where length("text") > 600
       union all select 'kg_raw_graph', row_id::varchar, k, json_extract_string(j, '$."' || k || '"') from (select row_id, j, unnest(json_keys(j)) k from (select row_id, case when json_valid(head_props) and json_type(head_props) = 'OBJECT' then head_props end j from kg_raw_graph) where j is not null) where json_type(j, '$."' || k || '"') = 'VARCHAR')
       select tbl, item_id, field, {_hard("v")} hard from t where length(v) > 600""",

@@ -38,3 +38,19 @@ def test_operator_edges(spark, rows):
     assert split_items(df.limit(0), ["k"], "t").count() == 0
     props = spark.createDataFrame([(1, '{"a":"%s","b":5,"c":{"d":"%s"}}' % ("\\u4e2d" * 700, "x" * 700)), (2, '{"a":"%s"' % ("x" * 700)), (3, None)], "r int, j string")
     assert [(r["r"], r["field"], len(r["value"])) for r in text_members(props, "r", "j", 600).collect()] == [(1, "a", 700)]
+
+
+def test_tails_are_not_merged_across_parents():
+    section = lambda name, *sizes: f"# {name}\n\n" + "".join("句" * (n - 1) + "。" for n in sizes)
+    text = section("A", 50, 60, 20) + "\n" + section("B", 30, 10) + "\n" + section("C", 20)
+    got, hard = pack(text, 100, 10)
+    parts = [text[a:b] for a, b, _ in got]
+    assert "".join(parts) == text and not hard and all(natural for *_, natural in got)
+    assert not any("A" in p and "B" in p for p in parts) and parts[-1].count("#") == 2  # B and C are whole siblings, A's tail stays by itself
+    assert all(b - a <= (90 if a else 100) for a, b, _ in got)
+
+
+def test_tags_within_a_line_cut_only_what_has_no_sentence_end():
+    text = "<ul>" + "".join(f"<li>{'x' * 40}</li>" for _ in range(5)) + "</ul>"
+    got, hard = pack(text, 100, 10)
+    assert hard and all(text[a:b].startswith(("<ul>", "<li>", "</ul>")) for a, b, _ in got) and "".join(text[a:b] for a, b, _ in got) == text
