@@ -79,11 +79,11 @@ _ORPHANS = rf"""{_READ},
   ref as (select distinct extraction_id, doc_id, round_no, pos, field, upper(trim(unnest(string_split_regex(s, '[,、]')))) ref from one where s is not null),
   gone as (select * from ref where ref <> '' and not exists (select 1 from own where own.extraction_id = ref.extraction_id and own.id = ref.ref)),
   ent as (select distinct name, loaded_at a, deleted_at d from entity), ed as (select distinct edge_id, loaded_at, unnest([{{f: 'source_name', n: source_name}}, {{f: 'target_name', n: target_name}}]) e from relationships)"""
-_FOUND = rf"""{_ORPHANS}, found as (select 'relations' tbl, extraction_id rec_id, pos::bigint pos, field, ref, case when exists (select 1 from own where own.doc_id = gone.doc_id and own.id = gone.ref and own.round_no > gone.round_no) then 'late' else 'missing' end reason, null::timestamp at from gone
+_FOUND = rf"""{_ORPHANS}, found as (select 'relations' tbl, extraction_id rec_id, pos::bigint pos, field, ref, case when exists (select 1 from own where own.doc_id = gone.doc_id and own.id = gone.ref and own.round_no > gone.round_no) then 'late' else 'missing' end reason, null::timestamp seen from gone
       union all select 'relationships', edge_id, 0, e.f, e.n, case when a is null then 'missing' when a > loaded_at then 'late' else 'deleted' end, loaded_at
       from ed left join ent on ent.name = e.n where not regexp_full_match(e.n, '[\t-\r\x{{85}}\p{{Z}}]*') and (a is null or a > loaded_at or d <= loaded_at))"""
 SQL: dict[str, str] = {
     "p2_found": f"with {_FOUND} select tbl, rec_id, pos, field, ref, reason from found",
     "p2_report": f"""with {_FOUND}, told as (select distinct extraction_id, loaded_at from extraction_result)
-      select tbl, strftime(coalesce(at, loaded_at), '%Y-%m') "month", field, reason, count(*) n from found left join told on tbl = 'relations' and extraction_id = rec_id group by all""",
+      select tbl, strftime(coalesce(seen, loaded_at), '%Y-%m') "month", field, reason, count(*) n from found left join told on tbl = 'relations' and extraction_id = rec_id group by all""",
 }
