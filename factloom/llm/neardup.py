@@ -29,6 +29,8 @@ SPARE = 0.65
 LONG = (1 << 14) - 1
 #: Rows of one key that are compared in one task; a more frequent key is split into blocks.
 HOT = 50_000
+#: Bytes of prefix rows in one part, which a task holds whole, and bytes that a token of a text takes there.
+PART, EACH = 1 << 26, 5
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 SMALL = 1_000_000
 _NEVER = 1e9
@@ -210,37 +212,62 @@ def _grouped(batches, columns: list[str], shift: int):
         held = [c[start:].copy() for c in now]
 
 
-def _pair_up(batches, least: float, partition: bool = False):
-    """Pairs of sets with a common key whose roles, sizes and signatures allow the similarity; rows come by key.
+def _pair_part(batches, least: float):
+    """Pairs of sets with a common key in one part of the prefix rows; see ``_pairs``. A part is held whole: PART bytes or a little more.
 
-    Prefixes: within a key, larger sets come first and probe the index rows (``role`` 1) after them.
-    ``partition``: ``who`` is -id - 1 for a probe and id for an index row, in any order.
+    Within a key, larger sets come first and probe the index rows after them.
     """
-    for old, (key, who, role, *sig) in _grouped(batches, ["key", "who", "role", "s1", "s2", "s3"], 0 if partition else 14):
-        sig = [c.view(np.uint64) for c in sig]
-        bound = (1 - least) / (1 + least) * (sig[2] & _U(LONG)).astype(np.float32) + np.float32(1e-4)
-        first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
-        before = np.arange(len(key)) - first  # rows of the same key that came before
-        new = np.arange(old, len(key))
+    held = list(batches)
+    if not held:
+        return
+    part = pa.Table.from_batches(held).combine_chunks()
+    who, *sig = (np.asarray(part.column(c)) for c in ("who", "s1", "s2", "s3"))
+    keys = part.column("keys").chunk(0)
+    up = np.repeat(np.arange(len(who)), np.diff(np.asarray(keys.offsets)))
+    flat = np.asarray(keys.flatten()).astype(np.int64)
+    order = np.argsort((flat >> 1 << 14) + (LONG - (sig[2][up] & LONG)), kind="stable")
+    key, role, up = (flat >> 1)[order], (flat & 1)[order], up[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    cuts = np.unique(np.append(start[np.searchsorted(start, np.arange(0, len(key), 1 << 16))[:-1]] if len(start) > 1 else 0, len(key)))
+    for a, b in zip(np.append(0, cuts[cuts > 0])[:-1], cuts[cuts > 0]):
+        yield _pairs(0, key[a:b], who[up[a:b]], role[a:b], [c[up[a:b]] for c in sig], least, False)
+
+
+def _pair_up(batches, least: float):
+    """Pairs of sets with a common key by universe partition; rows come by key, ``who`` is -id - 1 for a probe and id for an index row."""
+    for old, (key, who, role, *sig) in _grouped(batches, ["key", "who", "role", "s1", "s2", "s3"], 0):
+        yield _pairs(old, key, who, role, sig, least, True)
+
+
+def _pairs(old: int, key, who, role, sig: list[np.ndarray], least: float, partition: bool) -> pa.RecordBatch:
+    """Pairs of rows of one key, the later one from ``old`` on, whose roles, sizes and signatures allow the similarity.
+
+    Prefixes: an index row (``role`` 1) meets all rows before it. ``partition``: a probe meets index rows, in any order.
+    """
+    sig = [c.view(np.uint64) for c in sig]
+    bound = (1 - least) / (1 + least) * (sig[2] & _U(LONG)).astype(np.float32) + np.float32(1e-4)
+    first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
+    before = np.arange(len(key)) - first  # rows of the same key that came before
+    new = np.arange(old, len(key))
+    if partition:
+        who, role = np.where(who < 0, -who - 1, who), (who >= 0).astype(role.dtype)
+    else:
+        new = new[role[new] > 0]
+    cuts = np.searchsorted(np.cumsum(before[new]), np.arange(0, before[new].sum() + 1, 1 << 17))
+    found = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(new))):
+        later = new[a:b]
+        times = before[later]
+        x = np.arange(times.sum()) + np.repeat(first[later] - (np.cumsum(times) - times), times)
+        y = np.repeat(later, times)
         if partition:
-            who, role = np.where(who < 0, -who - 1, who), (who >= 0).astype(role.dtype)
-        else:
-            new = new[role[new] > 0]
-        cuts = np.searchsorted(np.cumsum(before[new]), np.arange(0, before[new].sum() + 1, 1 << 17))
-        found = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(new))):
-            later = new[a:b]
-            times = before[later]
-            x = np.arange(times.sum()) + np.repeat(first[later] - (np.cumsum(times) - times), times)
-            y = np.repeat(later, times)
-            if partition:
-                ok = role[x] != role[y]
-                x, y = x[ok], y[ok]
-            near = np.flatnonzero(_possible([c[x] for c in sig], [c[y] for c in sig], bound[x] + bound[y]))
-            p, q = who[x[near]], who[y[near]]
-            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q])
-        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            ok = role[x] != role[y]
+            x, y = x[ok], y[ok]
+        near = np.flatnonzero(_possible([c[x] for c in sig], [c[y] for c in sig], bound[x] + bound[y]))
+        p, q = who[x[near]], who[y[near]]
+        found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q])
+    pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
 def _possible(x: list[np.ndarray], y: list[np.ndarray], bound: np.ndarray) -> np.ndarray:
@@ -344,7 +371,7 @@ def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefi
     ``method``: ``partition`` is the universe partition with one-deletion neighbourhoods; it sends some 300 rows a text
     through the shuffle. ``prefix`` sends a row for each of a text's rarest tokens, about 0.4 of them at 0.6.
     Both order or allocate by the corpus' token frequencies, a sketch of CELLS counters that steers the work and
-    not the result. Rows of one key are compared as they stream by in the order of the shuffle's sort.
+    not the result. The number of parts follows from the counted tokens, so that a task's rows fit its memory.
     """
     spark = classes.sparkSession
 
@@ -359,7 +386,7 @@ def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefi
     freq[np.asarray(counts.column("cell"))] = np.asarray(counts.column("n"))
     held = spark.sparkContext.broadcast(freq.astype(np.float32))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(freq.sum() * EACH) // PART)
 
     def pieces(batches):
         for batch in batches:
@@ -380,12 +407,10 @@ def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefi
 
     if method == "partition":
         rows = classes.mapInArrow(partition_rows, "key bigint, who bigint, role int, s1 bigint, s2 bigint, s3 bigint").repartition("key")
+        met = rows.sortWithinPartitions("key").mapInArrow(lambda b: _pair_up(b, least), "a bigint, b bigint").distinct()
     else:
         packed = classes.mapInArrow(prefix_rows, "part int, who bigint, s1 bigint, s2 bigint, s3 bigint, keys array<int>").repartitionById(parts, "part")
-        one = packed.select(F.explode("keys").alias("_k"), "who", "s1", "s2", "s3")
-        falling = F.shiftleft(F.shiftright("_k", 1).cast("bigint"), 14) + (F.lit(LONG) - F.col("s3").bitwiseAND(F.lit(LONG).cast("bigint")))  # one number to sort by: key, larger sets first
-        rows = one.select(falling.alias("key"), "who", F.col("_k").bitwiseAND(1).alias("role"), "s1", "s2", "s3")
-    met = rows.sortWithinPartitions("key").mapInArrow(lambda b: _pair_up(b, least, method == "partition"), "a bigint, b bigint").distinct()
+        met = packed.mapInArrow(lambda b: _pair_part(b, least), "a bigint, b bigint").distinct()
     met = written(met, "met")
     wanted = classes.join(_few(met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi").distinct()
     texts, other = wanted.select(F.col("rep").alias("a"), F.col("plain").alias("_x")), wanted.select(F.col("rep").alias("b"), F.col("plain").alias("_y"))
