@@ -217,15 +217,13 @@ def _pair_part(batches, least: float):
 
     Within a key, larger sets come first and probe the index rows after them.
     """
-    held = list(batches)
+    held = [_unpacked(block) for batch in batches for block in batch.column("rows").to_pylist()]
     if not held:
         return
-    part = pa.Table.from_batches(held).combine_chunks()
-    who, *sig = (np.asarray(part.column(c)) for c in ("who", "s1", "s2", "s3"))
-    keys = part.column("keys").chunk(0)
-    up = np.repeat(np.arange(len(who)), np.diff(np.asarray(keys.offsets)))
-    flat = np.asarray(keys.flatten()).astype(np.int64)
-    order = np.argsort((flat >> 1 << 14) + (LONG - (sig[2][up] & LONG)), kind="stable")
+    who, *sig, count, flat = (np.concatenate(c) for c in zip(*held))
+    del held
+    up, flat = np.repeat(np.arange(len(who)), count), flat.astype(np.int64)
+    order = np.argsort((flat >> 1 << 14) + (LONG - (sig[2][up] & _U(LONG)).astype(np.int64)), kind="stable")
     key, role, up = (flat >> 1)[order], (flat & 1)[order], up[order]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     cuts = np.unique(np.append(start[np.searchsorted(start, np.arange(0, len(key), 1 << 16))[:-1]] if len(start) > 1 else 0, len(key)))
@@ -306,7 +304,7 @@ def _rarest_first(row: np.ndarray, df: np.ndarray, token: np.ndarray) -> np.ndar
 
 
 def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows ``(part, who, s1, s2, s3, keys)``: the rarest tokens of each set, packed by the part that they go to.
+    """Rows ``(part, rows)``: the rarest tokens of each set, all that go to one part in one block, by planes of bytes of equal weight.
 
     Rarest by the sketch, ties by a digest of the token and the token. Of two similar sets, the larger one's first n - ceil(t n) + 1 tokens and
     the smaller one's first n - ceil(2 t n / (1 + t)) + 1 have one in common; bit 0 of a key tells the latter. Sets of LONG tokens
@@ -336,12 +334,28 @@ def _prefix_rows(ids: np.ndarray, texts: list[str], least: float, freq: np.ndarr
     mixed = _mix(token, 0x3C)
     part = ((mixed >> _U(32)) % _U(parts)).astype(np.int64)
     key = ((mixed & _U(0x3FFFFFFF)) << _U(1) | role.astype(_U)).astype(np.int32)
-    order = np.lexsort((part, row))
+    order = np.lexsort((row, part))
     row, part, key = row[order], part[order], key[order]
     head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1]))) if len(row) else np.zeros(0, np.int64)
-    keys = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(key))
-    of = row[head]
-    return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), pa.array(ids[of]), *(pa.array(c[of].view(np.int64)) for c in sig), keys], ["part", "who", "s1", "s2", "s3", "keys"])
+    of, to, ends = row[head], part[head], np.append(head, len(row))
+    edges = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    blocks = []
+    for a, b in zip(edges, np.append(edges[1:], len(to))):
+        mine = of[a:b]
+        columns = (ids[mine], *(c[mine] for c in sig), np.diff(ends[a : b + 1]).astype(np.uint32), key[ends[a] : ends[b]])
+        blocks.append(np.array([b - a, ends[b] - ends[a]]).tobytes() + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns))
+    return pa.RecordBatch.from_arrays([pa.array(to[edges].astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "rows"])
+
+
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    """The columns ``who``, three of the signature, number of keys and ``keys`` of a packed block."""
+    n, m = (int(x) for x in np.frombuffer(block[:16], np.int64))
+    out, at = [], 16
+    for kind, count in ((np.int64, n), (np.uint64, n), (np.uint64, n), (np.uint64, n), (np.uint32, n), (np.int32, m)):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(block, np.uint8, count * width, at).reshape(width, count).T).view(kind).ravel())
+        at += count * width
+    return out
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -409,7 +423,7 @@ def similar_classes(classes: DataFrame, least: float = 0.6, method: str = "prefi
         rows = classes.mapInArrow(partition_rows, "key bigint, who bigint, role int, s1 bigint, s2 bigint, s3 bigint").repartition("key")
         met = rows.sortWithinPartitions("key").mapInArrow(lambda b: _pair_up(b, least), "a bigint, b bigint").distinct()
     else:
-        packed = classes.mapInArrow(prefix_rows, "part int, who bigint, s1 bigint, s2 bigint, s3 bigint, keys array<int>").repartitionById(parts, "part")
+        packed = classes.mapInArrow(prefix_rows, "part int, rows binary").repartitionById(parts, "part")
         met = packed.mapInArrow(lambda b: _pair_part(b, least), "a bigint, b bigint").distinct()
     met = written(met, "met")
     wanted = classes.join(_few(met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi").distinct()
