@@ -68,6 +68,21 @@ def plan(sizes: DataFrame, targets: DataFrame, source: str = "source", size: str
     return sizes.sparkSession.createDataFrame(out, "source string, target_share double, max_repeats int, tokens bigint, capacity bigint, wanted double, reachable boolean, budget double")
 
 
+def by_levels(sizes: DataFrame, targets: DataFrame, levels: list[str], source: str = "source", size: str = "n_tokens") -> tuple[DataFrame, DataFrame]:
+    """``sizes`` and ``targets`` for a tree whose leaves are a source's documents of one value of each of ``levels``.
+
+    ``source`` becomes the leaf's path as text; its target is the source's, in proportion to its part of the source's
+    tokens. Null levels are a value of their own. Leaves are as many as sources times values of the levels.
+    """
+    path = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*levels, source)))
+    leaf = sizes.withColumn("_leaf", path)
+    held = leaf.groupBy("_leaf", *levels, F.col(source).alias("_source")).agg(F.sum(size).alias("_n"))
+    whole = held.groupBy("_source").agg(F.sum("_n").alias("_all"))
+    wanted = targets.select(F.col("source").alias("_source"), "target_share", "max_repeats").dropDuplicates(["_source"])
+    out = held.join(whole, "_source").join(wanted, "_source").where("_all > 0")
+    return leaf.drop(source).withColumnRenamed("_leaf", source), out.select(F.col("_leaf").alias("source"), (F.col("target_share") * F.col("_n") / F.col("_all")).alias("target_share"), "max_repeats", *levels)
+
+
 def mix(sizes: DataFrame, planned: DataFrame, doc_id: str, source: str = "source", size: str = "n_tokens", seed: int = 7) -> DataFrame:
     """The mixture: ``(<doc_id>, source, n_tokens, epoch)``, a row per use of a document.
 

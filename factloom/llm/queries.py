@@ -70,10 +70,10 @@ def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.decode_corpus(p8_ids(spark, folder), "doc_id", "ids", TOKENIZER)
 
 
-def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+def _sizes(spark: SparkSession, folder: str, *levels: str) -> DataFrame:
     targets = table(spark, folder, "mix_targets").select("source").distinct()
     docs = table(spark, folder, "documents").join(F.broadcast(targets), "source", "left_semi")
-    return written(tokens.count_tokens(docs, ["doc_id", "source"], "text", TOKENIZER), "sizes")
+    return written(tokens.count_tokens(docs, ["doc_id", "source", *levels], "text", TOKENIZER), "sizes")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +91,14 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, planned, "doc_id"), planned)
 
 
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture through a tree of kind of document, language and source: what a leaf lacks goes to its siblings first."""
+    sizes, targets = mixing.by_levels(_sizes(spark, folder, "doc_kind", "lang"), table(spark, folder, "mix_targets"), ["doc_kind", "lang"])
+    planned = mixing.plan(sizes, targets, levels=["doc_kind", "lang"])
+    used = mixing.shares(mixing.mix(sizes, planned, "doc_id"), planned)
+    return planned.select(F.col("source").alias("leaf"), "tokens", "wanted", "budget").join(used.select(F.col("source").alias("leaf"), "actual_share", "tokens_used", "epochs"), "leaf")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return looks.same_look_pairs(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -99,4 +107,4 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return looks.one_form(table(spark, folder, "documents"), "doc_id", "text").drop("chars")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_levels": p9_levels, "p10_found": p10_found, "p10_forms": p10_forms}

@@ -42,10 +42,10 @@ def pieces(spark: SparkSession, name: str, folder: str = TOKENIZERS) -> DataFram
     return spark.createDataFrame(table.to_pandas(), "id int, piece binary")
 
 
-def _encoder(name: str, folder: str):
+def _encoder(held: dict[bytes, int]):
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks(name, folder), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=held, special_tokens={})
 
 
 def encode_corpus(docs: DataFrame, doc_id: str, text: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
@@ -85,7 +85,8 @@ def word_lists(docs: DataFrame, keys: list[str], text: str) -> tuple[DataFrame,
 def encoded_lists(bundles: DataFrame, parts: int, name: str, folder: str = TOKENIZERS, ids: bool = True) -> DataFrame:
     """``(bundle, part, data, fresh)``: the ids of each list of words, or only their numbers; ``fresh`` of them were encoded for it."""
     lists = bundles.where("part >= 0").select("bundle", "part", "data").repartitionById(parts, "part")
-    return lists.mapInArrow(_encode_part(name, folder, ids), "bundle string, part int, data binary, fresh bigint")
+    held = bundles.sparkSession.sparkContext.broadcast(ranks(name, folder))  # of the vocabulary's size; only the driver reads the folder
+    return lists.mapInArrow(_encode_part(held, ids), "bundle string, part int, data binary, fresh bigint")
 
 
 def _finished(bundles: DataFrame, encoded: DataFrame, keys: list[str], added: str, finish) -> DataFrame:
@@ -154,7 +155,7 @@ def _bundle(parts: int):
     return run
 
 
-def _encode_part(name: str, folder: str, ids: bool):
+def _encode_part(held, ids: bool):
     """Arrow function over the lists of one part: each of its distinct words is encoded once."""
 
     def run(batches):
@@ -165,7 +166,7 @@ def _encode_part(name: str, folder: str, ids: bool):
         size = np.concatenate([_numbers(raw[: 4 * n], "<u4") for *_, (n, raw) in rows])
         data = np.concatenate([raw[4 * n :] for *_, (n, raw) in rows])
         word = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size, dtype=np.int64))), pa.py_buffer(data)]).dictionary_encode()
-        encoder, at = _encoder(name, folder), np.asarray(word.indices)
+        encoder, at = _encoder(held.value), np.asarray(word.indices)
         sizes, flat = [], []
         for a in range(0, len(word.dictionary), STEP):
             got = [encoder.encode_ordinary(w) for w in word.dictionary.slice(a, STEP).to_pylist()]

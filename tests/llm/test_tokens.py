@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import tokens
-from factloom.llm.mixing import budgets, mix, plan, shares
+from factloom.llm.mixing import budgets, by_levels, mix, plan, shares
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(tokens.TOKENIZERS), reason="no tokenizer files here")
 NAME = "byte_bpe_50k"
@@ -96,6 +96,17 @@ def test_plan_through_levels(spark):
     assert budget() == {"a": 10, "b": 30, "c": 30, "d": 30}  # one level: to all others
 
 
+def test_leaves_of_levels(spark):
+    docs = [(1, "a", "en", 10), (2, "a", "zh", 30), (3, "b", "en", 100), (4, "b", None, 100), (5, "c", "zh", 5), (6, None, "zh", 5)]
+    sizes = spark.createDataFrame(docs, "doc_id bigint, source string, lang string, n_tokens bigint")
+    wanted = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("d", 0.0, 1)], "source string, target_share double, max_repeats int")
+    leaves, targets = by_levels(sizes, wanted, ["lang"])
+    planned = plan(leaves, targets, total=200.0, levels=["lang"])
+    got = {r["source"]: (r["tokens"], round(r["wanted"], 6), round(r["budget"], 6)) for r in planned.collect()}
+    assert got == {"en/a": (10, 25.0, 10.0), "zh/a": (30, 75.0, 30.0), "en/b": (100, 50.0, 92.0), "/b": (100, 50.0, 68.0)}  # what en/a lacks goes to en/b only
+    assert {r["source"] for r in mix(leaves, planned, "doc_id").collect()} == {"en/a", "zh/a"}  # no document of b fits its budget
+
+
 def test_mixture_of_nothing(spark):
     p = plan(sizes(spark).limit(0), targets(spark))
     assert {r["reachable"] for r in p.collect()} == {True} and mix(sizes(spark).limit(0), p, "doc_id").count() == 0
