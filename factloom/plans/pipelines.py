@@ -39,14 +39,14 @@ def embed_graph(kg: DataFrame, encoder: Encoder, props: bool = False, window: in
 
 def read_rounds(docs: DataFrame, llm: Answers) -> tuple[DataFrame, DataFrame]:
     """Answers that can be read, ``(doc_id, round_no, payload)``, and the others, ``(doc_id, round_no, raw, reason)``."""
-    got = llm.answer(docs).select("doc_id", "round_no", "raw", safe_json("raw").alias("payload"))
+    got = written(llm.answer(docs).select("doc_id", "round_no", "raw", safe_json("raw").alias("payload")), "rounds")
     reason = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "EMPTY").otherwise("NOT_JSON")
     return got.where("payload is not null").drop("raw"), got.where("payload is null").select("doc_id", "round_no", "raw", reason.alias("reason"))
 
 
 def news_triples(docs: DataFrame, llm: Answers) -> DataFrame:
     """``(doc_id, head, relation, tail, seq)``: the triples of a news text's rounds, each once."""
-    read = graph.read_results(read_rounds(docs, llm)[0], ["doc_id", "round_no"])
+    read = written(graph.read_results(read_rounds(docs, llm)[0], ["doc_id", "round_no"]), "results")
     return triples.merge_triples(graph.resolve_triples(read, ["doc_id", "round_no"]), "doc_id", ["round_no", "pos"])
 
 
@@ -56,7 +56,7 @@ def asked_triples(docs: DataFrame, llm: Answers) -> DataFrame:
     listed = F.coalesce(F.array_contains(F.json_object_keys("payload"), "triples"), F.lit(False))
     keys = ["doc_id", "round_no"]
     told = triples.question_triples(got.where(listed), keys, "payload")
-    linked = graph.resolve_triples(graph.read_results(got.where(~listed), keys), keys)
+    linked = graph.resolve_triples(written(graph.read_results(got.where(~listed), keys), "results"), keys)
     return triples.merge_triples(told.unionByName(linked), "doc_id", ["round_no", "pos"])
 
 
