@@ -121,6 +121,11 @@ SQL = {
       c as (select extraction_id, payload, t, case when contains(payload, '{') then regexp_extract_all(t, '[^{}]*[{}]') else [] end s from p),
       g as (select *, list_position(list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: case when x like '%{' then 1 else -1 end)) = 0), true) k from c)
       select extraction_id, case when k > 0 then substr(t, 1, length(array_to_string(s[1:k], ''))) end payload from g""",
+    "extract_json_block": r"""with p as (select distinct extraction_id, payload, substr(payload, strpos(payload, '{')) t from extraction_result),
+      c as (select extraction_id, payload, t, case when contains(payload, '{') then regexp_extract_all(t, '[^{}]*[{}]') else [] end s from p),
+      g as (select *, list_position(list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[1:i], lambda x: case when x like '%{' then 1 else -1 end)) = 0), true) k from c),
+      f as (select extraction_id, coalesce(nullif(regexp_extract(payload, '(?is)```json\s*(\{.*?\})\s*```', 1), ''), case when k > 0 then substr(t, 1, length(array_to_string(s[1:k], ''))) end) x from g)
+      select extraction_id, case when json_valid(x) and not regexp_matches(x, ',\s*[}\]]') then x end payload from f""",
     "asked_triples": rf"""with {_TRIPLES}, u as (select extraction_id, {_FENCED} f, {_MENDED} m from extraction_result)
       select distinct doc_id, head, relation, tail from tr where doc_id in (select doc_id from news_in) and (round_no = 2 or extraction_id in (select extraction_id from u where json_valid(f) and not regexp_matches(f, ',\s*[}}\]]') or json_valid(m)))""",
     "unreadable_rounds": rf"""with u as (select distinct doc_id, round_no, payload raw, {_FENCED} f, {_MENDED} m from extraction_result where doc_id in (select doc_id from news_in))
@@ -136,6 +141,7 @@ SQL = {
       kv as (select "name", t, s, d, pos, unnest(map_keys(props)) k, unnest(map_values(props)) v from al where t = 0 union all select "name", t, s, d, pos, k, json_extract_string(atr, '$."' || k || '"') from (select *, unnest(list_filter(json_keys(atr), lambda k: k not in ('id', 'name', 'type'))) k from al where t = 1)),
       la as (select "name", k, v, row_number() over (partition by "name", k order by t desc, s desc, d desc, pos desc) z from kv)
       select "name", id, "type", (select count(*) from la where la.name = fi.name and z = 1 and v is not null) n_props from fi where k = 1""",
+    "embed_graph": "select row_id r_id, 64 \"size\" from kg_raw_graph",
     "token_chunks": r"""with t as (select doc_id, "text", regexp_extract_all("text", '[\t-\r\x{85}\p{Z}]*\p{Han}|[\t-\r\x{85}\p{Z}]*[^\t-\r\x{85}\p{Z}\p{Han}]+|[\t-\r\x{85}\p{Z}]+$') t from documents where length("text") > 0),
       c as (select *, unnest(range(0, greatest(0, ceil((len(t) - 510) / 256.0))::int + 1)) n from t where len(t) > 0)
       select doc_id, n::int chunk_no, len(t[n * 256 + 1:n * 256 + 510])::int n_tokens, case when len(t) <= 510 then "text" else array_to_string(t[n * 256 + 1:n * 256 + 510], '') end chunk from c""",

@@ -83,6 +83,19 @@ _FOUND = rf"""{_ORPHANS}, found as (select 'relations' tbl, extraction_id rec_id
       union all select 'relationships', edge_id, 0, e.f, e.n, case when a is null then 'missing' when a > loaded_at then 'late' else 'deleted' end, loaded_at
       from ed left join ent on ent.name = e.n where not regexp_full_match(e.n, '[\t-\r\x{{85}}\p{{Z}}]*') and (a is null or a > loaded_at or d <= loaded_at))"""
 SQL: dict[str, str] = {
+    "p4_nodes": rf"""with {_READ}, one as (select distinct extraction_id, b from g), tr as (select one.extraction_id, t.*, row_number() over (partition by one.extraction_id order by t.id) - 1 node from one, json_tree(one.b) t),
+      up as (select extraction_id, id, node parent_node from tr)
+      select tr.extraction_id, node, parent_node, len(regexp_extract_all(substr(fullkey, 2), '\[\d+\]|\."[^"]*"|\.[^.\[]+'))::int depth, regexp_replace(substr(fullkey, 3), '(^|\.)"([^"]*)"', '\1\2', 'g') path,
+        case when fullkey = path || '[' || key || ']' then '[' || key || ']' else key end field, case type when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' else 'literal' end kind,
+        case when type in ('OBJECT', 'ARRAY') then null when type = 'VARCHAR' then atom->>'$' else coalesce(atom::varchar, 'null') end val
+      from tr left join up on up.extraction_id = tr.extraction_id and up.id = tr.parent""",
+    "p4_found": rf"""with {_READ},
+      tr as (select g.extraction_id rec, null::varchar pre, t.* from g, json_tree(g.b) t),
+      sub as (select rec, substr(fullkey, 3) pre, atom->>'$' a from tr where type = 'VARCHAR' and regexp_full_match(fullkey, '\$\.(entities|relations)\[\d+\]\.attributes')),
+      inn as (select sub.rec, sub.pre, t.* from sub, json_tree(case when json_valid(sub.a) and json_type(sub.a) in ('OBJECT', 'ARRAY') then sub.a else 'null' end) t),
+      kg as (select row_id rec, null::varchar pre, t.* from (select row_id, case when json_valid(rel_props) and json_type(rel_props) = 'OBJECT' then rel_props else 'null' end j from kg_raw_graph) k, json_tree(k.j) t),
+      al as (select 'extraction_result' tbl, * from tr where regexp_matches(fullkey, '^\$\.(entities|relations)\[\d+\]\.attributes[.\[]') union all select 'extraction_result', * from inn where fullkey <> '$' union all select 'kg_raw_graph', * from kg where path <> '$')
+      select distinct tbl, rec rec_id, regexp_replace(case when pre is null then substr(path, 3) when path = '$' then pre else pre || substr(path, 2) end, '(^|\.)"([^"]*)"', '\1\2', 'g') parent, case when fullkey = path || '[' || key || ']' then '[' || key || ']' else key end field, case when type = 'VARCHAR' then atom->>'$' else atom::varchar end val from al where type not in ('OBJECT', 'ARRAY', 'NULL')""",
     "p2_found": f"with {_FOUND} select tbl, rec_id, pos, field, ref, reason from found",
     "p2_report": f"""with {_FOUND}, told as (select distinct extraction_id, loaded_at from extraction_result)
       select tbl, strftime(coalesce(seen, loaded_at), '%Y-%m') "month", field, reason, count(*) n from found left join told on tbl = 'relations' and extraction_id = rec_id group by all""",

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a local one is set only on a local master, where none is named. Raises on a cluster without one."""
@@ -23,4 +25,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, read as often as needed, and not lost with an executor."""
     path = f"{shared_folder(df.sparkSession)}/factloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` made in this process; results that still read them must be stored before. Returns their number."""
+    done = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done

@@ -1,9 +1,11 @@
 import json
 import math
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from factloom import session
 from factloom.functions import vectors as vf
 from factloom.operators import dedup, graph, report, triples, vectors
 from factloom.plans import pipelines
@@ -231,3 +233,23 @@ def test_providers(spark, rows):
     known = spark.createDataFrame([("ab", [1.0])], "text string, vec array<float>")
     assert rows(TableEncoder(known).encode(texts, "t"), "vec") == [(None,), (None,), ([1.0],)]
     assert [r["vec"] is None for r in HashingEncoder(8).encode(texts, "t").collect()].count(True) == 2
+
+
+def test_written_tables_can_be_cleared(spark):
+    session.clear_written(spark)
+    df = session.written(spark.range(3), "test")
+    assert df.count() == 3 and session.clear_written(spark) == 1 and session.clear_written(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        Fake.sparkContext = type("Context", (), {"master": master})
+        with pytest.raises(ValueError):
+            session.shared_folder(Fake)
