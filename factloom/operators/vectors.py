@@ -55,17 +55,19 @@ def _scan(held, k: int, least: float | None):
 
     def run(batches):
         q_id, unit = held.value
+        flat, slack = unit.astype(np.float32), unit.shape[1] * 2.0**-23 + 1e-6  # sifted in single precision, compared in double
         best = _Best(len(q_id), k, least)
         for batch in batches:
             for a in range(0, batch.num_rows, TILE):
                 part = batch.slice(a, TILE)
                 rows, row = _units(part.column("vec")), np.asarray(part.column("r_id"))
+                few = rows.astype(np.float32)
                 for b in range(0, len(unit), TILE):
-                    near = unit[b : b + TILE] @ rows.T
+                    near = flat[b : b + TILE] @ few.T
                     low = best.floor[b : b + TILE]
                     if len(row) > k and (low < -1.5).any():  # nothing found yet: the tile's own k-th best is a bound
-                        low = np.maximum(low, np.partition(near, len(row) - k, axis=1)[:, len(row) - k])
-                    x, y = np.nonzero(near >= low[:, None] - 1e-12)
+                        low = np.maximum(low, np.partition(near, len(row) - k, axis=1)[:, len(row) - k] - slack)
+                    x, y = np.nonzero(near >= (low[:, None] - slack).astype(np.float32))
                     best.add(x + b, row[y], np.einsum("ij,ij->i", unit[x + b], rows[y]))
         x, row, sim = best.cut()
         for a in range(0, len(x), 1 << 16):
