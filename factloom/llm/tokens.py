@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.session import written
@@ -36,12 +36,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def pieces(spark: SparkSession, name: str, folder: str = TOKENIZERS) -> DataFrame:
-    """Id-to-piece table ``(id, piece binary)``: a row per vocabulary entry, so its size is that of the vocabulary."""
-    table = pa.table({"id": pa.array(ranks(name, folder).values(), pa.int32()), "piece": pa.array(ranks(name, folder).keys(), pa.binary())})
-    return spark.createDataFrame(table.to_pandas(), "id int, piece binary")
-
-
 def _encoder(held: dict[bytes, int]):
     import tiktoken
 
@@ -217,9 +211,23 @@ def _sizes(bundle: pa.Table) -> pa.Table:
 
 
 def decode_corpus(encoded: DataFrame, doc_id: str, ids: str, name: str, folder: str = TOKENIZERS) -> DataFrame:
-    """``(<doc_id>, text)`` from lists of ids through a join with the id-to-piece table; an empty list gives ''."""
-    vocabulary = F.broadcast(pieces(encoded.sparkSession, name, folder))
-    placed = encoded.select(F.col(doc_id).alias("_doc"), F.posexplode_outer(ids).alias("_pos", "id"))
-    ordered = placed.join(vocabulary, "id", "left").groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("_pos", "piece"))).alias("_p"))
-    hexed = F.array_join(F.transform("_p.piece", lambda p: F.hex(F.coalesce(p, F.lit(b"")))), "")
-    return ordered.select(F.col("_doc").alias(doc_id), F.decode(F.unhex(hexed), "UTF-8").alias("text"))
+    """``(<doc_id>, text)``, a row for every row of ``encoded``: lists of ids joined with the id-to-piece table; an empty and a null list give ''.
+
+    The table has the vocabulary's size and is broadcast; a batch is joined at once, where it is, and its pieces are then the
+    texts already, end to end. Ids that are not in the vocabulary give nothing.
+    """
+    piece = ranks(name, folder)
+    by_id = sorted(piece.items(), key=lambda x: x[1])
+    held = encoded.sparkSession.sparkContext.broadcast(([b for b, _ in by_id], np.array([i for _, i in by_id], np.int64)))
+
+    def join(lists: pa.Array) -> pa.Array:
+        pieces, known = held.value
+        flat = np.asarray(pc.fill_null(pc.list_flatten(lists), -1)).astype(np.int64)
+        at = np.searchsorted(known, flat)
+        found = known[np.minimum(at, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+        texts = pa.array([*pieces, b""], pa.large_binary()).take(pa.array(np.where(found, at, len(pieces))))
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        to = np.append(0, np.cumsum(_lengths(lists)))
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((ends[to] - ends[0]).astype(np.int32)), texts.buffers()[2] if len(texts) else pa.py_buffer(b"")])
+
+    return encoded.select(F.col(doc_id).alias(doc_id), F.make_valid_utf8(F.arrow_udf(join, "binary")(F.col(ids)).cast("string")).alias("text"))

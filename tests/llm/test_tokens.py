@@ -47,6 +47,12 @@ def test_round_trip_and_counts(spark):
     assert counts == {i: len(expected(t)) for i, t in enumerate(TEXTS)}
 
 
+def test_decoding_edges(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [15496, None, 60000, -5, 995]), (4, [15496])], "doc_id bigint, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(df, "doc_id", "ids", NAME).collect()} == {1: "", 2: "", 3: "Hello world", 4: "Hello"}
+    assert tokens.decode_corpus(df.limit(0), "doc_id", "ids", NAME).count() == 0
+
+
 def leaf(name, path, weight, capacity):
     return {"name": name, "path": path, "weight": weight, "capacity": capacity}
 
