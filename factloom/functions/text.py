@@ -156,6 +156,11 @@ def triple_text(head, relation, tail, *props) -> Column:
     return F.concat_ws(" ", *(F.coalesce(_col(c), F.lit("")) for c in (head, relation, tail, *props)))
 
 
+def sub_questions(text: Column | str) -> Column:
+    """The questions in a text: what stands between question marks and full stops of both widths, trimmed, blank ones left out."""
+    return F.filter(F.transform(F.split(_col(text), "[？?。]"), strip_text), lambda x: x != "")
+
+
 def request_date(text: Column | str) -> Column:
     """Date of a request, ``year/month/day`` with a four-digit year; null for anything else."""
     t = _col(text)

@@ -73,6 +73,24 @@ def resolve_triples(read: DataFrame, keys: list[str]) -> DataFrame:
     return r.where(~_falsy("head") & ~_falsy("relation") & ~_falsy("tail")).select(*keys, "pos", "head", "relation", "tail")
 
 
+def answer_faults(read: DataFrame, keys: list[str]) -> DataFrame:
+    """``(<keys>, fault, pos)``: where answers break the rules that they were asked for.
+
+    ``repeated_id``: an entity whose id an earlier one has; ``no_name``: an entity without name; ``several_targets``: a relation
+    whose target is a list or holds a separator; ``no_evidence``: a relation without evidence; ``unknown_end``: a
+    relation with an end that no entity has. ``pos`` is the place in ``entities`` or ``relations``.
+    """
+    e = read.select(*keys, F.posexplode("result.entities").alias("pos", "e"), F.col("result.entities").alias("_all"))
+    r = read.select(*keys, F.posexplode("result.relations").alias("pos", "r"), F.coalesce("result.entities", F.array().cast(f"array<{_MEMBER}>")).alias("_all"))
+    ids = F.filter(F.transform("_all", lambda x: x["id"]), lambda x: x.isNotNull())
+    before = F.transform(F.slice("_all", F.lit(1), F.col("pos")), lambda x: x["id"])
+    ends = F.concat(ensure_list("r.source"), ensure_list("r.target"))
+    found = lambda df, **rules: df.select(*keys, "pos", F.explode(F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))).alias("fault"))
+    of_entities = found(e, repeated_id=F.array_contains(before, F.col("e.id")), no_name=_falsy("e.name"))
+    of_relations = found(r, several_targets=F.coalesce("r.target", F.lit("")).rlike(r"^\[|[,、]"), no_evidence=_falsy("r.evidence"), unknown_end=F.exists(ends, lambda x: ~F.array_contains(ids, x)))
+    return of_entities.unionByName(of_relations).select(*keys, "fault", "pos")
+
+
 def valid_edges(edges: DataFrame) -> DataFrame:
     """Edges with source, target and evidence."""
     return edges.where(~_falsy("source_name") & ~_falsy("target_name") & ~_falsy("evidence"))

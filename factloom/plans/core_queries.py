@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from factloom.operators import dedup, graph, report, search, triples, vectors
 from factloom.plans import pipelines
 from factloom.plans.core_sql import SQL  # noqa: F401
 from factloom.providers import HashingEncoder, ReplayAnswers
-from factloom.sources.files import pending
+from factloom.session import shared_folder
+from factloom.sources import files
 from factloom.tables import table
 
 Q = {}
@@ -321,7 +324,7 @@ def parse_label(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def incremental_anti(s: SparkSession, d: str) -> DataFrame:
-    return pending(table(s, d, "news_in").select("doc_id").distinct(), table(s, d, "extraction_result").select("doc_id"))
+    return files.pending(table(s, d, "news_in").select("doc_id").distinct(), table(s, d, "extraction_result").select("doc_id"))
 
 
 @query
@@ -399,6 +402,39 @@ def token_chunks(s: SparkSession, d: str) -> DataFrame:
     return vectors.token_chunks(table(s, d, "documents"), "doc_id", "text")
 
 
+@query
+def sub_questions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("doc_kind = 'question'").select("doc_id", F.posexplode(tx.sub_questions("text")).alias("pos", "question"))
+
+
+@query
+def answer_faults(s: SparkSession, d: str) -> DataFrame:
+    return graph.answer_faults(_read(s, d), KEYS)
+
+
+@query
+def decode_upload(s: SparkSession, d: str) -> DataFrame:
+    sent = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))
+    return table(s, d, "documents").where("text is not null").select("doc_id", files.decode_upload(sent).alias("text"))
+
+
+@query
+def resolve_document(s: SparkSession, d: str) -> DataFrame:
+    """The file of the greatest document id, asked for by its bare name, where the same name lies in the inbox and in two other folders."""
+    news = table(s, d, "news_in").select("doc_id", "text").distinct()
+    last = news.agg(F.max("doc_id")).head()[0]
+    paths = news.select(F.explode(F.array(*(F.concat(F.lit(f"/{box}/"), "doc_id", F.lit(".txt")) for box in ("old", "in", "archive")))).alias("path"), "text")
+    return files.resolve_document(paths, f"{last}.txt", "/in").select("path")
+
+
+@query
+def triples_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Triples to CSV and back."""
+    path = f"{shared_folder(s)}/factloom-csv-{uuid.uuid4().hex}"
+    files.write_triples(table(s, d, "kg_raw_graph"), path)
+    return files.read_triples(s, path)
+
+
 def _verdicts(s: SparkSession, d: str) -> tuple[DataFrame, ReplayAnswers]:
     """Reports of as many knowledge lines as an edge's id modulo 7, and verdicts on them whose points name the edge's ends."""
     edges = table(s, d, "relationships").select("edge_id", "source_name", "target_name").dropDuplicates(["edge_id"]).where("source_name not rlike '[\\\\n\\\\r]' and target_name not rlike '[\\\\n\\\\r]'")

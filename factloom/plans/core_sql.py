@@ -141,6 +141,17 @@ SQL = {
       kv as (select "name", t, s, d, pos, unnest(map_keys(props)) k, unnest(map_values(props)) v from al where t = 0 union all select "name", t, s, d, pos, k, json_extract_string(atr, '$."' || k || '"') from (select *, unnest(list_filter(json_keys(atr), lambda k: k not in ('id', 'name', 'type'))) k from al where t = 1)),
       la as (select "name", k, v, row_number() over (partition by "name", k order by t desc, s desc, d desc, pos desc) z from kv)
       select "name", id, "type", (select count(*) from la where la.name = fi.name and z = 1 and v is not null) n_props from fi where k = 1""",
+    "sub_questions": f"""with q as (select doc_id, list_filter(list_transform(string_split_regex("text", '[？?。]'), lambda x: {_strip('x')}), lambda x: x <> '') q from documents where doc_kind = 'question' and "text" is not null)
+      select doc_id, unnest(range(len(q)))::int pos, unnest(q) question from q""",
+    "answer_faults": f"""with {_REL}, {_ENDS}, own as (select extraction_id, pos, e->>'id' id, e->>'name' "name" from en)
+      select extraction_id, 'repeated_id' fault, pos::int pos from own o where exists (select 1 from own x where x.extraction_id = o.extraction_id and x.id = o.id and x.pos < o.pos)
+      union all select extraction_id, 'no_name', pos::int from own where coalesce("name", '') = ''
+      union all select extraction_id, 'several_targets', pos::int from re where regexp_matches(coalesce(case when json_type(r->'target') = 'NULL' then null else r->>'target' end, ''), '^\\[|[,、]')
+      union all select extraction_id, 'no_evidence', pos::int from re where coalesce(r->>'evidence', '') = ''
+      union all select distinct extraction_id, 'unknown_end', pos::int from (select extraction_id, pos, unnest(list_concat({_list('source')}, {_list('target')})) x from re) u where not exists (select 1 from own where own.extraction_id = u.extraction_id and own.id = u.x)""",
+    "decode_upload": "select doc_id, \"text\" from documents where \"text\" is not null",
+    "resolve_document": "select '/in/' || max(doc_id) || '.txt' path from news_in",
+    "triples_round_trip": "select nullif(head, '') head, nullif(relation, '') relation, nullif(tail, '') tail, nullif(head_props, '') head_props, nullif(rel_props, '') rel_props, nullif(tail_props, '') tail_props from kg_raw_graph",
     "embed_graph": "select row_id r_id, 64 \"size\" from kg_raw_graph",
     "token_chunks": r"""with t as (select doc_id, "text", regexp_extract_all("text", '[\t-\r\x{85}\p{Z}]*\p{Han}|[\t-\r\x{85}\p{Z}]*[^\t-\r\x{85}\p{Z}\p{Han}]+|[\t-\r\x{85}\p{Z}]+$') t from documents where length("text") > 0),
       c as (select *, unnest(range(0, greatest(0, ceil((len(t) - 510) / 256.0))::int + 1)) n from t where len(t) > 0)

@@ -47,14 +47,14 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     if missing := [c for c in TRIPLE if c not in have]:
         raise ValueError(f"no column {', '.join(missing)} in {path}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in have])
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=schema)
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=schema, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return df.select(*TRIPLE, *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in PROPS))
 
 
 def write_triples(df: DataFrame, path: str) -> int:
-    """Triple table to CSV that ``read_triples`` reads; returns the number of rows, counted as they are written."""
+    """Triple table to CSV that ``read_triples`` reads (empty texts come back as null); returns the number of rows, counted as they are written."""
     seen = Observation()
-    df.select(*TRIPLE, *(c for c in PROPS if c in df.columns)).observe(seen, F.count("*").alias("n")).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*TRIPLE, *(c for c in PROPS if c in df.columns)).observe(seen, F.count("*").alias("n")).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return seen.get["n"]
 
 

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from factloom import session
+from factloom.functions import text as tx
 from factloom.functions import vectors as vf
 from factloom.operators import dedup, graph, report, triples, vectors
 from factloom.plans import pipelines
@@ -253,3 +254,12 @@ def test_a_cluster_needs_a_shared_folder():
         Fake.sparkContext = type("Context", (), {"master": master})
         with pytest.raises(ValueError):
             session.shared_folder(Fake)
+
+
+def test_answer_faults_and_sub_questions(spark, rows):
+    bad = {"entities": [{"id": "1", "name": "A"}, {"id": "1", "name": ""}, {"name": "x"}], "relations": [{"source": "1", "relation": "r", "target": ["1", "9"], "evidence": "e"}, {"source": None, "relation": "r", "target": "1,1"}]}
+    answers = spark.createDataFrame([(1, json.dumps(bad)), (2, "{}"), (3, None)], "k int, payload string")
+    got = rows(graph.answer_faults(graph.read_results(answers, ["k"]), ["k"]))
+    assert got == [(1, "no_evidence", 1), (1, "no_name", 1), (1, "repeated_id", 1), (1, "several_targets", 0), (1, "several_targets", 1), (1, "unknown_end", 0), (1, "unknown_end", 1)]
+    asked = spark.createDataFrame([(1, "誰？ 何時?。好。"), (2, ""), (3, None)], "k int, t string")
+    assert rows(asked.select("k", tx.sub_questions("t"))) == [(1, ["誰", "何時", "好"]), (2, []), (3, None)]
