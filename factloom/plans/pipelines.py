@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import entity_key_full, entity_key_name, safe_json, triple_text, verbalise
+from factloom.functions.text import entity_key_full, entity_key_name, extract_json_block, payload_object, safe_json, triple_text, verbalise
 from factloom.operators import dedup, graph, report, search, triples, vectors, verdict
 from factloom.providers import Answers, Encoder
 from factloom.session import written
@@ -16,10 +16,13 @@ from factloom.session import written
 def build_graph(answers: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and new edges after answers ``(doc_id, seq, payload)`` are merged into ``nodes`` and ``edges``.
 
+    An answer is read from its first brace to its last; if that is no JSON, from its code fence or first balanced object.
+
     Edges are ``(source_name, target_name, relation, evidence, doc_id, date)``; attributes of a relation named so replace
     what else is known of it. The document of an edge is the answer's where its attributes name none.
     """
-    read = graph.read_results(answers, ["doc_id", "seq"])
+    told = answers.withColumn("payload", F.coalesce(payload_object("payload"), extract_json_block("payload")))
+    read = graph.read_results(told, ["doc_id", "seq"])
     place = lambda seq, doc, pos: F.struct(seq.cast("bigint").alias("a"), doc.cast("string").alias("b"), pos.cast("int").alias("c"))
     made = graph.entity_nodes(read, ["doc_id", "seq"]).select("name", "id", "type", "props", place(F.col("seq"), F.col("doc_id"), F.col("pos")).alias("seq"))
     old = nodes.select("name", "id", "type", "props", place(F.lit(None), F.lit(None), F.lit(None)).alias("seq"))

@@ -183,6 +183,9 @@ def test_build_graph(spark, rows):
     merged, new = pipelines.build_graph(answers, nodes, edges)
     assert rows(merged, "name", "id", "type") == [("A", "0", "old"), ("B", "E2", "T"), ("C", "E2", "Entity")]
     assert rows(new, "source_name", "target_name", "evidence", "doc_id", "date") == [("A", "C", "e", "d", None)]
+    two = "see {\"a\": 1} and\n```json\n" + json.dumps(ANSWER) + "\n```\n{not json}"
+    _, new = pipelines.build_graph(spark.createDataFrame([("d", 1, two)], "doc_id string, seq bigint, payload string"), nodes, edges)
+    assert rows(new, "source_name", "evidence") == [("A", "e")]
     dated = {**ANSWER, "relations": [{**ANSWER["relations"][0], "evidence": "f", "attributes": {"date": "2024-01-02", "doc_id": "x", "relation": "last", "place": {"a": 1}}}]}
     _, new = pipelines.build_graph(spark.createDataFrame([("d", 1, json.dumps(dated))], "doc_id string, seq bigint, payload string"), nodes, edges)
     assert set(rows(new, "evidence", "relation", "doc_id", "date")) == {("f", "last", "x", "2024-01-02")}
