@@ -189,7 +189,7 @@ def one_form(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     doubtful = read.where(F.size("_odd") > 0).select("_doc", F.explode("_odd").alias("_c")).select("_doc", "_c.token", "_c.result")
     spelled = written(doubtful.select("token", "result").distinct(), "spelled")
     results = spelled.groupBy("result").agg(F.count("*").alias("_n"))
-    plain = read.select(F.explode("_plain").alias("result")).join(results.select("result"), "result", "left_semi").distinct()
+    plain = read.select(F.explode("_plain").alias("result")).distinct().join(results.select("result"), "result", "left_semi")  # a frequent word crosses once per task
     vocabulary = results.where("_n > 1").select("result").union(plain).distinct()
     repair = spelled.join(vocabulary, "result", "left_semi").distinct()
     by_doc = doubtful.join(repair, ["token", "result"], "left_semi").groupBy("_doc").agg(F.collect_set(F.struct("token", "result")).alias("_known"))
