@@ -90,6 +90,61 @@ def keep_longest(df: DataFrame, keys: list[str], least: float = 0.8) -> DataFram
     return _fold(df, keys, least, True)
 
 
+#: Rows of a bucket that one task folds; a bucket of more is parted by document.
+FOLDED = 1 << 16
+
+
+def fold_ids(placed: DataFrame, lines: DataFrame, least: float, longest: bool) -> DataFrame:
+    """``(d, seq, line_id)`` kept of ``placed(d, seq, b, line_id)``, buckets ``(d, b)``: the same as ``keep_first`` or ``keep_longest``.
+
+    ``lines(line_id, b, n_chars, vec)`` has each line once. A task gets whole buckets ``b`` of many documents and each of their
+    lines once, so vectors don't cross the shuffle with every document; only a bucket of over FOLDED rows is parted, and its lines repeated.
+    """
+    large = placed.groupBy("b").agg(F.count("*").alias("_n")).where(F.col("_n") > FOLDED)
+    large = large.join(lines.groupBy("b").agg(F.count("*").alias("_m")), "b")
+    large = F.broadcast(large.select("b", F.ceil(F.col("_n") / F.greatest(F.lit(FOLDED), F.col("_m") * 4)).cast("int").alias("_s")))  # one of FOLDED rows at most
+    parts = F.coalesce("_s", F.lit(1))
+    rows = placed.join(large, "b", "left").select("b", F.pmod(F.xxhash64("d"), parts).cast("int").alias("z"), "d", "seq", "line_id", F.lit(None).cast("int").alias("n_chars"), F.lit(None).cast("array<float>").alias("vec"))
+    each = lines.join(large, "b", "left").select("b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("z"), F.lit(None).cast("bigint").alias("d"), F.lit(None).cast("bigint").alias("seq"), "line_id", "n_chars", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known, bucket, kept, slots, count = None, {}, None, _Kept(), [], 0
+        for batch in batches:
+            out = []
+            b, z, d, seq, line, chars = (batch.column(c).to_pylist() for c in ("b", "z", "d", "seq", "line_id", "n_chars"))
+            vectors = batch.column("vec")
+            ends, flat, have = np.asarray(vectors.offsets), np.asarray(vectors.values, float), np.asarray(vectors.is_valid())
+            for i in range(batch.num_rows):
+                if (b[i], z[i], d[i]) != bucket:
+                    out += [(bucket[2], *x[:2]) for x in slots]
+                    bucket, kept, slots, count = (b[i], z[i], d[i]), _Kept(), [], 0
+                if d[i] is None:
+                    if (b[i], z[i]) != group:
+                        group, known = (b[i], z[i]), {}
+                    vec = flat[ends[i] : ends[i + 1]] if have[i] else flat[:0]
+                    length = np.linalg.norm(vec)
+                    known[line[i]] = vec / length if length > 0 else None, chars[i]
+                    continue
+                unit, n = known[line[i]]
+                at = kept.first_like(unit, least) if unit is not None else -1
+                if at < 0:
+                    out += [] if longest else [(d[i], seq[i], line[i])]
+                    at, count = count, count + 1
+                    slots += [[seq[i], line[i], n]] if longest else []
+                elif longest and n > slots[at][2]:
+                    slots[at][1:] = line[i], n
+                else:
+                    continue
+                if unit is not None:
+                    kept.put(unit, at)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["d", "seq", "line_id"])
+        if slots:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((bucket[2], *x[:2]) for x in slots))], ["d", "seq", "line_id"])
+
+    return rows.unionByName(each).repartition("b", "z").sortWithinPartitions("b", "z", "d", "seq").mapInArrow(run, "d bigint, seq bigint, line_id bigint")
+
+
 def renumber(df: DataFrame, doc: str, order: list[str], style: str = "bracket") -> DataFrame:
     """Adds ``n`` (from 1 in each document) and ``text``, the line with its new number."""
     n = F.row_number().over(Window.partitionBy(doc).orderBy(*order))

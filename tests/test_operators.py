@@ -1,5 +1,7 @@
+import glob
 import json
 import math
+import os
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -119,6 +121,38 @@ def test_dedup_folds_equal_loops(spark, lines):
         assert got == sorted(naive(numbered, 0.7))
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(LINES, min_size=1, max_size=4))
+def test_folds_by_id_equal_loops_and_send_each_line_once(spark, monkeypatch, docs):
+    known = sorted({(t, tuple(v)) for lines in docs for t, v in lines})
+    lines = spark.createDataFrame([(i, 7, len(t), list(v)) for i, (t, v) in enumerate(known)], "line_id bigint, b bigint, n_chars int, vec array<float>")
+    placed = spark.createDataFrame([(d, i, 7, known.index((t, tuple(v)))) for d, x in enumerate(docs) for i, (t, v) in enumerate(x)], "d bigint, seq bigint, b bigint, line_id bigint")
+    for size in (1 << 16, 2):  # the second: the bucket is parted by document
+        monkeypatch.setattr(dedup, "FOLDED", size)
+        for longest, naive in ((False, naive_first), (True, naive_longest)):
+            got = sorted((r["d"], r["seq"], known[r["line_id"]][0]) for r in dedup.fold_ids(placed, lines, 0.7, longest).collect())
+            assert got == sorted((d, *x) for d, lines_ in enumerate(docs) for x in naive([(i, t, v) for i, (t, v) in enumerate(lines_)], 0.7))
+
+
+def test_packed_reports_equal_assembled(spark, rows, monkeypatch):
+    monkeypatch.setattr(report, "PACKED", 1)  # a block for each batch
+    docs = spark.createDataFrame([(1, "x", "one"), (1, "x", "two"), (2, "y", None), (3, "z", "three")], "d bigint, doc string, text string")
+    told = spark.createDataFrame([(d, n, (n + d) % 3 > 0, f". same{n % 5}") for d in (1, 2, 3) for n in range(1, 30)], "d bigint, n int, numbered boolean, text string")
+    lines = told.selectExpr("d", "n", "if(numbered, concat('[', n, ']', text), text) text").join(docs.select("d", "doc").distinct(), "d")
+    assert rows(report.packed_reports(docs, told, "doc", 2)) == rows(report.assemble(docs, lines, "doc"))
+    assert report.packed_reports(docs.limit(0), told.limit(0), "doc", 2).count() == 0
+
+
+def test_settled_deletes_what_it_was_made_from(spark):
+    made = session.settled(lambda: session.written(spark.range(3), "inner").selectExpr("id + 1 AS id"), "outer")
+    left = [os.path.basename(p) for p in glob.glob(session.shared_folder(spark).removeprefix("file://") + "/factloom-*")]
+    assert sorted(r["id"] for r in made.collect()) == [1, 2, 3] and any("-outer-" in p for p in left) and not any("-inner-" in p for p in left)
+    session.discard(made)
+    assert not any("-outer-" in p for p in glob.glob(session.shared_folder(spark).removeprefix("file://") + "/factloom-*"))
+    again = spark.range(8).repartition(2)
+    assert session.written(again.groupBy("id").count(), "once").count() == again.count() == 8
+
+
 def test_report_and_status(spark, rows):
     lines = spark.createDataFrame([("d", "b", 2, "1. y", [1.0]), ("d", "b", 1, "1. x", [0.5])], "doc string, bucket string, seq int, line string, vec array<float>")
     numbered = dedup.renumber(lines, "doc", ["seq"])
