@@ -236,14 +236,14 @@ def _abbreviates(short: pa.Array, full: pa.Array) -> pa.Array:
     return pa.array(out, pa.int32())
 
 
-def _ordered(words: pa.Array, count: pa.Array) -> pa.Array:
-    """Keys under which abbreviations find a word: its beginnings, and for a word of several names its first letter with two more in order."""
+def _ordered(words: pa.Array) -> pa.Array:
+    """Keys under which abbreviations find a word, however rare: its beginnings, and its first letter with one or two more in order."""
     out = []
-    for w, n in zip(words.to_pylist(), count.to_pylist()):
-        keys = {w[:1], w[:2], w[:3]}
-        if n > 1:
-            rest = w[1:24]
-            keys |= {w[0] + x + y for i, x in enumerate(rest) for y in rest[i + 1 :]} | {w[0] + x for x in rest}
+    for w in words.to_pylist():
+        keys, seen = {w[:1], w[:2], w[:3]}, set()
+        for y in w[:0:-1]:  # from the end: what follows a letter is known
+            keys |= {w[0] + y, *(w[0] + y + z for z in seen)}
+            seen.add(y)
         out.append(sorted(keys))
     return pa.array(out, pa.list_(pa.string()))
 
@@ -289,7 +289,7 @@ def canonical_forms(names: DataFrame) -> DataFrame:
     # an abbreviation is looked up by its first letters: at the word's beginning, or anywhere in order after its first one
     letters = lambda c: F.substring(c, 1, 3)
     short = often.where("word like '%.' and length(word) > 2").select("cls", "word", F.regexp_replace("word", r"\.+$", "").alias("_s")).where("_s <> ''").withColumn("_i", letters("_s"))
-    full = often.where("word not like '%.%' and length(word) > 1").select("cls", F.col("word").alias("to"), "tf", F.explode(F.arrow_udf(_ordered, "array<string>")("word", "tf")).alias("_i"))
+    full = often.where("word not like '%.%' and length(word) > 1").select("cls", F.col("word").alias("to"), "tf", F.explode(F.arrow_udf(_ordered, "array<string>")("word")).alias("_i"))
     fits = short.join(full, ["cls", "_i"]).withColumn("_k", F.arrow_udf(_abbreviates, "int")("_s", "to")).where("_k > 0")
     fits = fits.withColumn("_score", F.log("tf") + F.col("_k") * 1.5)
     abbr = fits.withColumn("_r", best(F.col("_score").desc(), "to")).where("_r = 1").select("cls", "word", "to")

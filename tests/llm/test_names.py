@@ -83,3 +83,9 @@ def test_posterior_links(spark):
     pairs = same_entity_pairs(forms).collect()
     assert len(pairs) == 10 + 1 + 3 + 1 and all(r["name_a"] < r["name_b"] for r in pairs)
     assert same_entity_pairs(canonical_forms(spellings(df.limit(0)))).count() == 0
+
+
+def test_abbreviations_find_words_of_one_name_and_letters_far_inside(spark):
+    long = "Wasserstrassenverwaltungsgenossenschaft"
+    names = ["Mosnasky Labour Association", "Mosnasky Labour Assn.", "Rudgiholm Health Office", f"Keldestead Upper {long}", "Keldestead Upper Wgft."]
+    assert groups(spark, names) == {frozenset(names[:2]), frozenset(names[3:])}
